@@ -17,8 +17,8 @@ def bounded_batches(spark: SparkSession) -> None:
     """Lowers the session's Arrow batches to the bounds above, so a worker's memory does not follow the length of texts."""
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
-        now = int(spark.conf.get(key, "0").rstrip("b") or 0)
-        if not 0 < now <= most:
+        now = spark.conf.get(key, None) or ""
+        if not (now.isdigit() and 0 < int(now) <= most):
             spark.conf.set(key, str(most))
 
 
