@@ -9,10 +9,11 @@
    on average, 31 is 5.7 standard deviations beyond (a chance below 1e-7 to miss a pair).
 3. Of buckets with the same members one is kept.  In each bucket all members are compared with
    the least, on the full shingle sets; the links that hold are joined into components.
-4. Buckets that still hold several components are searched exactly: members are dealt to
-   blocks, each pair of blocks is one task, and only pairs of different components within the
-   signature distance go on to comparison.  So a bucket of any size is neither cut nor held by one task, and
-   copies are never expanded into all pairs.
+4. Buckets that still hold several components are searched further: members are dealt to
+   blocks, and each pair of blocks is one task.  First a least spanning forest by signature
+   distance is compared, which joins what hangs together; then every pair left of different components within the
+   signature distance, each pair in one bucket alone.  So a bucket of any size is neither cut nor held by one
+   task, no link between components is lost, and copies are never expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -110,21 +111,68 @@ def compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return sides.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def near_pairs(group: pa.Table) -> pa.Table:
-    """Of the members of two blocks of a bucket the pairs (a, b) of different components within the distance."""
-    node, label, side, n = (group.column(c).to_numpy() for c in ("node", "label", "side", "n_shingles"))
+def _members(group: pa.Table):
+    node, label, n = (group.column(c).to_numpy() for c in ("node", "label", "n_shingles"))
     sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(-1, VALUES)
+    return node, label, n, sig
+
+
+def _pairs(a, b) -> pa.Table:
+    a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
+    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+
+def tree_pairs(group: pa.Table) -> pa.Table:
+    """Of the members of two blocks of a bucket a least spanning forest by signature distance (Prim): the pairs in it
+    of different components.  There are fewer than members."""
+    node, label, n, sig = _members(group)
+    far = VALUES + 1
+    away, parent, open_ = np.full(len(node), far), np.zeros(len(node), np.int64), np.ones(len(node), bool)
+    a, b = [], []
+    for _ in range(len(node)):
+        u = int(np.where(open_, away, far + 1).argmin())
+        if away[u] <= MOST_APART and label[u] != label[parent[u]]:
+            a.append(node[parent[u]])
+            b.append(node[u])
+        open_[u] = False
+        apart = (sig != sig[u]).sum(1)
+        apart[100 * np.minimum(n, n[u]) < SIMILARITY * np.maximum(n, n[u])] = far
+        apart[label == label[u]] = -1
+        closer = open_ & (apart < away)
+        away[closer], parent[closer] = apart[closer], u
+    return _pairs(a, b)
+
+
+def near_pairs(group: pa.Table) -> pa.Table:
+    """Of the members of two blocks of a bucket the pairs of different components within the distance, each in one bucket only:
+    that of the least key which both have."""
+    node, label, n, sig = _members(group)
+    side, key = group.column("side").to_numpy(), group.column("key")[0].as_py()
+    chunk, mask = key >> 50, key >> 48 & 3
     left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
-    a_out, b_out = [], []
+    a, b = [], []
     for i in left:
-        apart = (sig[right] != sig[i]).sum(1)
+        equal = sig[right] == sig[i]
         fit = 100 * np.minimum(n[right], n[i]) >= SIMILARITY * np.maximum(n[right], n[i])
-        ok = right[(apart <= MOST_APART) & (label[right] != label[i]) & fit]
-        a_out.append(np.full(len(ok), node[i]))
-        b_out.append(node[ok])
-    a, b = np.concatenate([*a_out, np.empty(0, np.int64)]), np.concatenate([*b_out, np.empty(0, np.int64)])
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        ok = (equal.sum(1) >= VALUES - MOST_APART) & (label[right] != label[i]) & fit & ((side[right] > 0) | (right > i))
+        if ok.any():
+            parts = equal[ok].reshape(-1, VALUES // CHUNK, CHUNK)
+            first = (parts.sum(2) >= CHUNK - 1).argmax(1)
+            wrong = (~parts[np.arange(len(first)), first]).argmax(1)  # 0 if none is
+            own = right[ok][(first == chunk) & (wrong == mask)]
+            a += [node[i]] * len(own)
+            b += node[own].tolist()
+    return _pairs(a, b)
+
+
+def dealt(members: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, for each pair of blocks of their bucket."""
+    labelled = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    open_keys = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("n")).where("l <> m")
+    rest = labelled.join(open_keys.select("key", "n"), "key").join(signed, "node")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    out = rest.withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return out.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "node", "label", "n_shingles", "sig")
 
 
 def near_duplicates(documents: DataFrame, width: int = 5) -> DataFrame:
@@ -157,15 +205,13 @@ def near_duplicates(documents: DataFrame, width: int = 5) -> DataFrame:
     first = stored(compared(pairs, texts, width).distinct(), "links").unionByName(same_id)
     labels = components(first)
 
-    labelled = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("n")).where("l <> m")
-    rest = labelled.join(open_keys.select("key", "n"), "key").join(classes.groupBy("node").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "node")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = rest.withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "node", "label", "n_shingles", "sig")
-    more = dealt.groupBy("key", "i", "j").applyInArrow(near_pairs, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    second = compared(stored(more, "more"), texts, width).distinct()
-    labels = components(first.unionByName(second))
+    signed = classes.groupBy("node").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+    known, held = pairs, first
+    for step, search in (("tree", tree_pairs), ("rest", near_pairs)):
+        more = stored(dealt(members, labels, signed).groupBy("key", "i", "j").applyInArrow(search, "a long, b long").distinct().join(known, ["a", "b"], "left_anti"), step)
+        held = stored(held.unionByName(compared(more, texts, width)), "links")
+        known = known.unionByName(more)
+        labels = components(held)
 
     of_class = classes.join(labels, "node", "left").select("cls", F.coalesce("component", "node").alias("component_id"))
     joined = S.join(of_class, "cls", "left")
