@@ -8,7 +8,8 @@
    so every pair within the distance meets.  Texts at a similarity of 0.8 differ in 12.8 values
    on average, 31 is 5.7 standard deviations beyond (a chance below 1e-7 to miss a pair).
 3. Of buckets with the same members one is kept.  In each bucket all members are compared with
-   the least, on the full shingle sets; the links that hold are joined into components.
+   the least; the links that hold are joined into components.  Before full shingle sets are compared, an odd sketch (parities of shingles in 2048
+   cells) rules out pairs that differ in too many shingles; it never rules out a pair by less than that.
 4. Buckets that still hold several components are searched further: members are dealt to
    blocks, and each pair of blocks is one task.  First a least spanning forest by signature
    distance is compared, which joins what hangs together; then every pair left of different components within the
@@ -32,18 +33,44 @@ from stratalog.llm.textvec import SPACES, U64, Words, chunks, fingerprint, whole
 
 VALUES, CHUNK, MOST_APART, BLOCK = 64, 4, 31, 1024
 SIMILARITY = 80  # per cent
+BROADCAST_ROWS = 1 << 20
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(1, 1 << 63, VALUES, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+ODD_BITS = 2048
 MASKS = [[j for j in range(CHUNK) if j != out] for out in range(CHUNK)]
 
 
+def odd_sketches(sets: list[np.ndarray], sizes: np.ndarray) -> list[bytes]:
+    """For each set the parity of its members' number in each of ODD_BITS cells."""
+    x = np.concatenate([*sets, np.empty(0, U64)])
+    cell = np.repeat(np.arange(len(sets)), sizes) * ODD_BITS + (x >> U64(17)).astype(np.int64) % ODD_BITS
+    bits = (np.bincount(cell, minlength=len(sets) * ODD_BITS) & 1).astype(bool).reshape(len(sets), ODD_BITS)
+    return [row.tobytes() for row in np.packbits(bits, axis=1)]
+
+
+def may_link(n_a, odd_a: np.ndarray, n_b, odd_b: np.ndarray) -> np.ndarray:
+    """False only for pairs that cannot be similar enough.
+
+    A pair at the similarity differs in at most m = (n_a + n_b) (100 - s) / (100 + s) shingles.  Each toggles one cell, so the sketches
+    differ in at most m cells; with cells hit twice, in n / 2 (1 - (1 - 2 / n)^m) on average, here with six standard deviations of room.
+    """
+    m = (n_a + n_b) * (100 - SIMILARITY) // (100 + SIMILARITY)
+    apart = np.bitwise_count(odd_a ^ odd_b).sum(-1)
+    likely = ODD_BITS / 2 * (1 - (1 - 2 / ODD_BITS) ** m) + 3 * ODD_BITS**0.5
+    return (100 * np.minimum(n_a, n_b) >= SIMILARITY * np.maximum(n_a, n_b)) & (apart <= np.minimum(m, likely))
+
+
+def _odd(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, ODD_BITS // 64)
+
+
 def signatures(documents: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, cls (of the words), sig (VALUES 16-bit values; empty without words)."""
+    """doc_id, n_shingles, cls (of the words), sig (VALUES 16-bit values; empty without words), odd (the odd sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in batch.column("text").to_pylist()]
-            n_shingles, classes, sigs = [], [], []
+            n_shingles, classes, sigs, odds = [], [], [], []
             for _, part in chunks(texts):
                 w = Words(part, SPACES)
                 sh, _ = w.shingles(width)
@@ -53,6 +80,7 @@ def signatures(documents: DataFrame, width: int) -> DataFrame:
                     sets.append(np.unique(sh[a : b - width + 1]) if b - a >= width else whole(w, a, b) if b > a else np.empty(0, U64))
                     classes.append(xxhash.xxh3_128_digest(w.hash[a:b].tobytes()))
                 sizes = np.array([len(s) for s in sets])
+                odds += odd_sketches(sets, sizes)
                 n_shingles += sizes.tolist()
                 full = np.flatnonzero(sizes)
                 if len(full):
@@ -67,10 +95,10 @@ def signatures(documents: DataFrame, width: int) -> DataFrame:
                 else:
                     of = {}
                 sigs += [of.get(d, b"") for d in range(len(part))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_shingles, pa.int64()), pa.array(classes, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "cls", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_shingles, pa.int64()), pa.array(classes, pa.binary()), pa.array(sigs, pa.binary()), pa.array(odds, pa.binary())], ["doc_id", "n_shingles", "cls", "sig", "odd"])
 
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_shingles long, cls binary, sig binary")
+    return source.mapInArrow(run, "doc_id long, n_shingles long, cls binary, sig binary, odd binary")
 
 
 def keys(classes: DataFrame) -> DataFrame:
@@ -90,8 +118,25 @@ def keys(classes: DataFrame) -> DataFrame:
     return classes.select("node", "sig").mapInArrow(run, "node long, keys array<long>").select(F.explode("keys").alias("key"), "node")
 
 
-def compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Of pairs (a, b) those whose full shingle sets are similar enough.  texts: node, text."""
+def plausible(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """Of pairs (a, b) those that their sketches do not rule out."""
+    side = lambda x: signed.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("odd").alias(f"odd_{x}"))
+
+    def run(batches):
+        for batch in batches:
+            n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+            ok = may_link(n_a, _odd(batch.column("odd_a")), n_b, _odd(batch.column("odd_b")))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "odd_a", "odd_b").mapInArrow(run, "a long, b long")
+
+
+def compared(pairs: DataFrame, documents: DataFrame, width: int) -> DataFrame:
+    """Of pairs (a, b) of ids those whose full shingle sets are similar enough."""
+    ids = stored(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "ids")
+    few = ids.count() <= BROADCAST_ROWS  # 8 bytes each; beyond, both sides are exchanged
+    found = documents.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text")).join(F.broadcast(ids) if few else ids, "node", "left_semi")
+    texts = stored(found.where(F.length("text") > 0).dropDuplicates(["node", "text"]), "texts")
     sides = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
 
     def run(batches):
@@ -101,20 +146,17 @@ def compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
             good = []
             for x, y in zip(a, b, strict=True):
                 s, t = known[x], known[y]
-                if 100 * min(len(s), len(t)) < SIMILARITY * max(len(s), len(t)):
-                    good.append(False)
-                    continue
                 common = len(s) + len(t) - len(np.union1d(s, t))
-                good.append(100 * common >= SIMILARITY * (len(s) + len(t) - common))
+                good.append(100 * common >= SIMILARITY * (len(s) + len(t) - common) > 0)
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return sides.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return sides.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
 def _members(group: pa.Table):
     node, label, n = (group.column(c).to_numpy() for c in ("node", "label", "n_shingles"))
     sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), "<u2").reshape(-1, VALUES)
-    return node, label, n, sig
+    return node, label, n, sig, _odd(group.column("odd"))
 
 
 def _pairs(a, b) -> pa.Table:
@@ -125,7 +167,7 @@ def _pairs(a, b) -> pa.Table:
 def tree_pairs(group: pa.Table) -> pa.Table:
     """Of the members of two blocks of a bucket a least spanning forest by signature distance (Prim): the pairs in it
     of different components.  There are fewer than members."""
-    node, label, n, sig = _members(group)
+    node, label, n, sig, odd = _members(group)
     far = VALUES + 1
     away, parent, open_ = np.full(len(node), far), np.zeros(len(node), np.int64), np.ones(len(node), bool)
     a, b = [], []
@@ -136,7 +178,7 @@ def tree_pairs(group: pa.Table) -> pa.Table:
             b.append(node[u])
         open_[u] = False
         apart = (sig != sig[u]).sum(1)
-        apart[100 * np.minimum(n, n[u]) < SIMILARITY * np.maximum(n, n[u])] = far
+        apart[~may_link(n, odd, n[u], odd[u])] = far
         apart[label == label[u]] = -1
         closer = open_ & (apart < away)
         away[closer], parent[closer] = apart[closer], u
@@ -146,15 +188,15 @@ def tree_pairs(group: pa.Table) -> pa.Table:
 def near_pairs(group: pa.Table) -> pa.Table:
     """Of the members of two blocks of a bucket the pairs of different components within the distance, each in one bucket only:
     that of the least key which both have."""
-    node, label, n, sig = _members(group)
+    node, label, n, sig, odd = _members(group)
     side, key = group.column("side").to_numpy(), group.column("key")[0].as_py()
     chunk, mask = key >> 50, key >> 48 & 3
     left, right = np.flatnonzero(side <= 0), np.flatnonzero(side >= 0)
     a, b = [], []
     for i in left:
         equal = sig[right] == sig[i]
-        fit = 100 * np.minimum(n[right], n[i]) >= SIMILARITY * np.maximum(n[right], n[i])
-        ok = (equal.sum(1) >= VALUES - MOST_APART) & (label[right] != label[i]) & fit & ((side[right] > 0) | (right > i))
+        ok = (equal.sum(1) >= VALUES - MOST_APART) & (label[right] != label[i]) & ((side[right] > 0) | (right > i))
+        ok[ok] = may_link(n[right[ok]], odd[right[ok]], n[i], odd[i])
         if ok.any():
             parts = equal[ok].reshape(-1, VALUES // CHUNK, CHUNK)
             first = (parts.sum(2) >= CHUNK - 1).argmax(1)
@@ -172,7 +214,7 @@ def dealt(members: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame
     rest = labelled.join(open_keys.select("key", "n"), "key").join(signed, "node")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     out = rest.withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return out.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "node", "label", "n_shingles", "sig")
+    return out.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "node", "label", "n_shingles", "sig", "odd")
 
 
 def near_duplicates(documents: DataFrame, width: int = 5) -> DataFrame:
@@ -185,7 +227,7 @@ def near_duplicates(documents: DataFrame, width: int = 5) -> DataFrame:
     spark = documents.sparkSession
     S = stored(signatures(documents, width), "signatures")
     with_words = S.where("n_shingles > 0 and doc_id is not null")
-    classes = with_words.groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    classes = with_words.groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("odd").alias("odd"))
     classes = stored(classes, "classes")
     # documents that share a doc_id but not a class are linked through it
     same_id = with_words.select("doc_id", "cls").distinct().join(classes.select("cls", "node"), "cls").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
@@ -199,17 +241,14 @@ def near_duplicates(documents: DataFrame, width: int = 5) -> DataFrame:
     members = stored(K.join(distinct, "key").distinct(), "members")  # key, node, pivot
 
     pairs = stored(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(wanted, "doc_id", "left_semi")
-    texts = stored(found.select(F.col("doc_id").alias("node"), "text").where(F.length("text") > 0).dropDuplicates(["node", "text"]), "texts")
-    first = stored(compared(pairs, texts, width).distinct(), "links").unionByName(same_id)
+    signed = classes.groupBy("node").agg(*(F.first(c).alias(c) for c in ("sig", "odd", "n_shingles")))
+    first = stored(compared(stored(plausible(pairs, signed), "plausible"), documents, width).unionByName(same_id), "links")
     labels = components(first)
 
-    signed = classes.groupBy("node").agg(F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
     known, held = pairs, first
     for step, search in (("tree", tree_pairs), ("rest", near_pairs)):
         more = stored(dealt(members, labels, signed).groupBy("key", "i", "j").applyInArrow(search, "a long, b long").distinct().join(known, ["a", "b"], "left_anti"), step)
-        held = stored(held.unionByName(compared(more, texts, width)), "links")
+        held = stored(held.unionByName(compared(more, documents, width)), "links")
         known = known.unionByName(more)
         labels = components(held)
 
