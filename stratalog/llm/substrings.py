@@ -9,8 +9,8 @@ only as deep as 50 bytes, and refined from buckets, never sorted whole:
    key sets of batches of documents, and bits that come back.
 2. Refinement.  The suffixes of a shared anchor are a context: the bytes that all strings of the anchor cover.  Equal contexts
    are one row with the least document id.  Buckets with unequal contexts are refined by bucket pointers: suffixes get ranks of 8 bytes, then
-   ranks of 16, 32 and 50 bytes by sorting on the pair of the bucket's own number and the bucket number at a later
-   offset, each round reusing the numbers of the one before.  The least id of each rank comes back to the batches.
+   ranks of 24 and 50 bytes by sorting on the bucket's own number and the bucket numbers at two later
+   offsets, each round reusing the numbers of the one before.  The least id of each rank comes back to the batches.
 3. Each batch marks what its documents share with smaller ids.
 
 Documents are exchanged once, by batch; the three passes read the same exchange.  A batch, or a range of
@@ -36,7 +36,7 @@ from stratalog.llm.textvec import U64, mix
 
 SPAN, GRAM = 50, 20
 STEPS = SPAN - GRAM + 1
-SLICE, BATCH, RANGE, REFINE = 1 << 20, 4 << 20, 16 << 20, 4 << 20
+SLICE, BATCH, RANGE, REFINE = 1 << 20, 4 << 20, 16 << 20, 1 << 20
 PLACE = U64((1 << 24) - 1)
 
 
@@ -125,10 +125,11 @@ class Batch:
 
     def contexts(self, shared: np.ndarray) -> dict[int, dict[tuple[int, bytes], list[tuple[int, int, int]]]]:
         """By range: (key, context) -> (text, first, last) of the anchors that have it, smallest id first."""
-        a, out = self.anchors, defaultdict(dict)
-        for k in np.flatnonzero(shared[self.number]) if len(self.number) else ():
-            t, first, last = int(a.text[k]), int(a.first[k]), int(a.last[k])
-            out[int(self.range[self.number[k]])].setdefault((int(a.key[k]) - (1 << 63), self.texts[t][first : last + SPAN]), []).append((t, first, last))
+        a, out, texts = self.anchors, defaultdict(dict), self.texts
+        k = np.flatnonzero(shared[self.number]) if len(self.number) else np.empty(0, np.int64)
+        keys = (a.key[k] ^ U64(1 << 63)).view(np.int64)
+        for r, key, t, first, last in zip(*(x.tolist() for x in (self.range[self.number[k]], keys, a.text[k], a.first[k], a.last[k])), strict=True):
+            out[r].setdefault((key, texts[t][first : last + SPAN]), []).append((t, first, last))
         return out
 
 
@@ -146,16 +147,31 @@ def refined(contexts: list[bytes], ids: list[int]) -> list[np.ndarray]:
     buffer = b"".join(contexts) + bytes(8)
     sizes = np.array([len(c) for c in contexts])
     begin = np.concatenate([[0], np.cumsum(sizes)])
-    bucket = np.unique(_eights(buffer), return_inverse=True)[1].astype(np.int64)  # ranks of 8 bytes
-    for offset in (8, 16, SPAN - 32):  # ranks of 16, 32 and SPAN bytes; strings that run over a context's end are not asked for
-        n = len(bucket) - offset
-        pair = bucket[:n] * (int(bucket.max()) + 1) + bucket[offset:]
-        bucket = np.unique(pair, return_inverse=True)[1].astype(np.int64)
-    strings = np.concatenate([np.arange(b, b + s - SPAN + 1) for b, s in zip(begin, sizes, strict=False)])
-    of = np.repeat(np.asarray(ids, np.int64), sizes - SPAN + 1)
+    starts = np.repeat(begin[:-1] - np.concatenate([[0], np.cumsum(sizes - SPAN + 1)[:-1]]), sizes - SPAN + 1) + np.arange((sizes - SPAN + 1).sum())
+    bucket = np.unique(_eights(buffer), return_inverse=True)[1]  # of 8 bytes, at every place
+    # of 24 bytes, where a string has its first, its second and its last such stretch
+    needed = np.zeros(len(bucket), bool)
+    for offset in STRETCHES:
+        needed[starts + offset] = True
+    places = np.flatnonzero(needed)
+    bucket[places] = _renumbered(bucket, places, (0, 8, 16))
+    bucket = _renumbered(bucket, starts, STRETCHES)  # of SPAN bytes
     least = np.full(int(bucket.max()) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, bucket[strings], of)
-    return np.split(least[bucket[strings]], np.cumsum(sizes - SPAN + 1)[:-1])
+    np.minimum.at(least, bucket, np.repeat(np.asarray(ids, np.int64), sizes - SPAN + 1))
+    return np.split(least[bucket], np.cumsum(sizes - SPAN + 1)[:-1])
+
+
+STRETCHES = (0, 24, SPAN - 24)
+
+
+def _renumbered(bucket: np.ndarray, places: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
+    """New bucket numbers of places: by sorting on the bucket numbers at three later offsets."""
+    bits = int(bucket.max()).bit_length()
+    if 3 * bits > 63:  # too many buckets for one number: two of the offsets first
+        pair = np.unique(bucket[places + offsets[0]] << bits | bucket[places + offsets[1]], return_inverse=True)[1]
+        return np.unique(pair << bits | bucket[places + offsets[2]], return_inverse=True)[1]
+    joint = (bucket[places + offsets[0]] << bits | bucket[places + offsets[1]]) << bits | bucket[places + offsets[2]]
+    return np.unique(joint, return_inverse=True)[1]
 
 
 def _keys(ranges: int):
@@ -256,7 +272,13 @@ def _removed(ranges: int):
                 changes = defaultdict(list)
                 for j, s, d in zip(context, string, then, strict=True):
                     changes[j].append((s, d))
-                for j, (_, at) in enumerate(self_contexts(b, least)[r].items()):
+                for j, at in enumerate(self_contexts(b, least)[r].values()):
+                    if j not in changes:
+                        low = lows[j]
+                        for t, first, last in at:
+                            if low < ids[t]:
+                                strings[t].append((first, last))
+                        continue
                     steps = [(0, lows[j]), *changes[j]]
                     for t, first, last in at:
                         for (s, d), (e, _) in zip(steps, [*steps[1:], (last - first + 1, 0)], strict=True):
