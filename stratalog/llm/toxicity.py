@@ -46,10 +46,10 @@ SENTENCE = re.compile(r"[.!?\n]+")
 
 @dataclass(frozen=True)
 class ToxicityParams:
-    """max_train_rows and max_train_bytes bound the labelled sample that the driver fits; every text is scored."""
+    """max_train_rows and max_changes (counterfactuals) bound the labelled sample that is fitted; every text is scored."""
 
     max_train_rows: int = 6000
-    max_train_bytes: int = 48 << 20
+    max_changes: int = 20_000
     min_df: int = 4
     min_z: float = 5.0
     max_features: int = 3000
@@ -103,56 +103,51 @@ def swapped(sentence: list[str], families: tuple[tuple[str, ...], ...]) -> Itera
         yield [place[w][0][(place[w][1] + shift) % len(place[w][0])] if w in place else w for w in sentence]
 
 
-def selected(bags: list[dict[str, float]], labels: list[int], params: ToxicityParams) -> list[str]:
-    """The features whose document frequency differs most between the labels (two-proportion z)."""
-    seen = [Counter(f for bag, y in zip(bags, labels, strict=True) if y == label for f in bag) for label in (0, 1)]
-    n0, n1 = max(1, labels.count(0)), max(1, labels.count(1))
+def strength(positive: int, negative: int, n1: int, n0: int) -> float:
+    """Two-proportion z of a feature's document frequency between the labels."""
+    p = (positive + negative + 1) / (n0 + n1 + 2)
+    return abs(positive / max(1, n1) - negative / max(1, n0)) / math.sqrt(p * (1 - p) * (1 / max(1, n0) + 1 / max(1, n1)))
 
-    def z(f: str) -> float:
-        p = (seen[0][f] + seen[1][f] + 1) / (n0 + n1 + 2)
-        return (seen[1][f] / n1 - seen[0][f] / n0) / math.sqrt(p * (1 - p) * (1 / n0 + 1 / n1))
 
-    strong = [(abs(z(f)), f) for f in seen[0] | seen[1] if seen[0][f] + seen[1][f] >= params.min_df]
-    return sorted(f for v, f in sorted(strong, reverse=True)[: params.max_features] if v >= params.min_z)
+def present(text: str | None, lengths: tuple[int, ...]) -> set[str]:
+    return {f for w in set(WORD.findall((text or "").lower())) for f in features(w, lengths)}
 
 
-def fit(texts: list[str | None], labels: list[int], params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
-    """Full-batch Adam on the regularised loss; deterministic for the same rows in the same order."""
-    of = lambda w: features(w, params.prefix_lengths)
-    bags, pairs = [], []
-    for text in texts:
-        lowered = (text or "").lower()
-        words = WORD.findall(lowered)
-        bags.append(values(Counter(words), of))
-        if any(t in lowered for family in params.families for t in family):
-            for sentence in SENTENCE.split(lowered):
-                words = WORD.findall(sentence)
-                pairs += [(words, other) for other in swapped(words, params.families)]
-    index = {f: k for k, f in enumerate(selected(bags, labels, params))}
-    if not index or len(set(labels)) < 2:
-        rate = (sum(labels) + 0.5) / (len(labels) + 1)
-        return ToxicityModel({}, math.log(rate / (1 - rate)), params.prefix_lengths)
+def design(text: str | None, index: dict[str, int], params: ToxicityParams) -> tuple[dict[int, float], list[dict[int, float]]]:
+    """A text's values of the indexed features, and how each counterfactual of its sentences changes them."""
+    of = lambda w: [f for f in features(w, params.prefix_lengths) if f in index]
+    lowered = (text or "").lower()
+    row = {index[f]: v for f, v in values(Counter(WORD.findall(lowered)), of).items()}
+    changes = []
+    if any(t in lowered for family in params.families for t in family):
+        for sentence in SENTENCE.split(lowered):
+            words = WORD.findall(sentence)
+            for other in swapped(words, params.families):
+                x, y = values(Counter(words), of), values(Counter(other), of)
+                change = {index[f]: x.get(f, 0) - y.get(f, 0) for f in {*x, *y} if x.get(f, 0) != y.get(f, 0)}
+                if change:
+                    changes.append(change)
+    return row, changes
 
-    def matrix(rows: list[dict[str, float]]):
-        cols = [np.fromiter((index[f] for f in r if f in index), np.int64) for r in rows]
-        vals = [np.fromiter((v for f, v in r.items() if f in index), np.float64) for r in rows]
-        at = np.repeat(np.arange(len(rows)), [len(c) for c in cols])
-        return at, np.concatenate([*cols, np.empty(0, np.int64)]), np.concatenate([*vals, np.empty(0)]), len(rows)
+
+def solve(rows: list[dict[int, float]], changes: list[dict[int, float]], labels: list[int], n: int, params: ToxicityParams) -> tuple[np.ndarray, float]:
+    """Weights and bias by full-batch Adam on the regularised loss; deterministic for the same rows in the same order."""
+
+    def matrix(rows: list[dict[int, float]]):
+        cols = np.fromiter((c for r in rows for c in r), np.int64)
+        vals = np.fromiter((v for r in rows for v in r.values()), np.float64)
+        return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), cols, vals, len(rows)
 
     def times(m, w):
         return np.bincount(m[0], m[2] * w[m[1]], m[3])
 
     def back(m, r):
-        return np.bincount(m[1], m[2] * r[m[0]], len(index))
+        return np.bincount(m[1], m[2] * r[m[0]], n)
 
-    changes = []
-    for a, b in pairs[:20_000]:
-        x, y = values(Counter(a), of), values(Counter(b), of)
-        changes.append({f: x.get(f, 0) - y.get(f, 0) for f in {*x, *y} if x.get(f, 0) != y.get(f, 0)})
-    main, swaps = matrix(bags), matrix(changes)
+    main, swaps = matrix(rows), matrix(changes)
     y = np.asarray(labels, float)
-    w, b = np.zeros(len(index)), math.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
-    m1, m2, mb1, mb2 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
+    w, b = np.zeros(n), math.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
+    m1, m2, mb1, mb2 = np.zeros(n), np.zeros(n), 0.0, 0.0
     rate = 0.05
     for step in range(1, params.steps + 1):
         z = np.clip(times(main, w) + b, -40, 40)
@@ -166,7 +161,28 @@ def fit(texts: list[str | None], labels: list[int], params: ToxicityParams = Tox
         c1, c2 = 1 - 0.9**step, 1 - 0.999**step
         w -= rate * (m1 / c1) / (np.sqrt(m2 / c2) + 1e-8)
         b -= rate * (mb1 / c1) / (math.sqrt(mb2 / c2) + 1e-8)
-    return ToxicityModel({f: float(w[k]) for f, k in index.items() if abs(w[k]) > 1e-3}, float(b), params.prefix_lengths)
+    return w, float(b)
+
+
+def modelled(index: dict[str, int], rows, changes, labels: list[int], params: ToxicityParams) -> ToxicityModel:
+    if not index or len(set(labels)) < 2:
+        rate = (sum(labels) + 0.5) / (len(labels) + 1)
+        return ToxicityModel({}, math.log(rate / (1 - rate)), params.prefix_lengths)
+    w, b = solve(rows, changes[: params.max_changes], labels, len(index), params)
+    return ToxicityModel({f: float(w[k]) for f, k in index.items() if abs(w[k]) > 1e-3}, b, params.prefix_lengths)
+
+
+def fit(texts: list[str | None], labels: list[int], params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
+    """The same as train(), for lists."""
+    n1, n0 = sum(labels), len(labels) - sum(labels)
+    seen: dict[str, list[int]] = {}
+    for text, y in zip(texts, labels, strict=True):
+        for f in present(text, params.prefix_lengths):
+            seen.setdefault(f, [0, 0])[y] += 1
+    strong = sorted((-strength(p, q, n1, n0), f) for f, (q, p) in seen.items() if p + q >= params.min_df and strength(p, q, n1, n0) >= params.min_z)
+    index = {f: k for k, f in enumerate(sorted(f for _, f in strong[: params.max_features]))}
+    parts = [design(t, index, params) for t in texts]
+    return modelled(index, [row for row, _ in parts], [c for _, own in parts for c in own], labels, params)
 
 
 def held_out(doc_id):
@@ -181,14 +197,37 @@ def train(documents: DataFrame, labels: DataFrame, params: ToxicityParams = Toxi
     ids = {r["doc_id"]: int(r["toxic"]) for r in chosen.collect()}  # at most max_train_rows pairs
     keys = documents.sparkSession.createDataFrame([(k, v) for k, v in sorted(ids.items())], "doc_id long, toxic int")
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(keys), "doc_id")
-    found = stored(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).withColumn("n", F.octet_length("text")), "toxicity-train")
-    order, room, chosen_ids = sorted(found.select("doc_id", "n").collect(), key=lambda r: zlib.crc32(str(r["doc_id"]).encode())), params.max_train_bytes, []
-    for r in order:
-        if r["n"] <= room:
-            room -= r["n"]
-            chosen_ids.append(r["doc_id"])
-    got = {r["doc_id"]: r for r in found.where(F.col("doc_id").isin(chosen_ids)).collect()}
-    return fit([got[k]["text"] for k in chosen_ids], [got[k]["toxic"] for k in chosen_ids], params)
+    found = stored(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "toxicity-train")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seen: dict[str, list[int]] = {}
+            for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                for f in present(text, params.prefix_lengths):
+                    seen.setdefault(f, [0, 0])[y] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([p for _, p in seen.values()], pa.int64()), pa.array([q for q, _ in seen.values()], pa.int64())], ["feature", "positive", "negative"])
+
+    sizes = {r["toxic"]: r["n"] for r in found.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+    counted = found.mapInArrow(count, "feature string, positive long, negative long").groupBy("feature").agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative"))
+    p = (F.col("positive") + F.col("negative") + 1) / (n0 + n1 + 2)
+    z = F.abs(F.col("positive") / max(1, n1) - F.col("negative") / max(1, n0)) / F.sqrt(p * (1 - p) * (1 / max(1, n0) + 1 / max(1, n1)))
+    strong = counted.where(F.col("positive") + F.col("negative") >= params.min_df).withColumn("z", z).where(F.col("z") >= params.min_z)
+    chosen = strong.orderBy(F.desc("z"), "feature").limit(params.max_features).select("feature").collect()
+    index = {f: k for k, f in enumerate(sorted(r["feature"] for r in chosen))}
+
+    def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [design(t, index, params) for t in batch.column("text").to_pylist()]
+            pairs = lambda row: [{"k": k, "v": v} for k, v in row.items()]
+            kind = pa.list_(pa.struct([("k", pa.int32()), ("v", pa.float64())]))
+            arrays = [batch.column("doc_id"), batch.column("toxic"), pa.array([pairs(row) for row, _ in parts], kind), pa.array([[pairs(c) for c in own[: params.max_changes]] for _, own in parts], pa.list_(kind))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "toxic", "row", "changes"])
+
+    pair = "array<struct<k: int, v: double>>"
+    got = found.mapInArrow(lay_out, f"doc_id {dict(found.dtypes)['doc_id']}, toxic int, row {pair}, changes array<{pair}>").collect()  # max_train_rows rows of chosen features
+    got.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"])))
+    return modelled(index, [dict(r["row"]) for r in got], [dict(c) for r in got for c in r["changes"]], [r["toxic"] for r in got], params)
 
 
 def score(documents: DataFrame, model: ToxicityModel, keep: list[str] | None = None) -> DataFrame:
