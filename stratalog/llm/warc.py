@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import blocks_for, read_table, shared_dir
+from stratalog.llm.common import blocks_for, read_table, shared_dir, stored
 
-LEAST_REVISIT, FILE_BYTES = 100, 16 << 20
+LEAST_REVISIT, FILE_BYTES, BROADCAST_ROWS = 100, 16 << 20, 100_000
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"  # pages carry no time of capture
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -54,7 +54,9 @@ def records(pages: DataFrame, n_files: int) -> DataFrame:
     order = F.struct(F.col("page_id").isNull().alias("n"), F.col("page_id").alias("page_id"), F.coalesce("url", F.lit("")).alias("u"), F.col("url").alias("url"))
     large = p.where(F.col("size") >= LEAST_REVISIT).select("digest", order.alias("o"))
     first = large.groupBy("digest").agg(F.min("o").alias("o"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("o.page_id").alias("first_page"), F.col("o.url").alias("first_url"), F.lit(True).alias("shared"))
-    x = p.join(first, "digest", "left").repartition(n_files).withColumn("kept", F.col("shared").isNull() | (F.col("page_id").eqNullSafe(F.col("first_page")) & F.col("url").eqNullSafe(F.col("first_url"))))
+    first = stored(first, "shared-payloads")
+    few = first.count() <= BROADCAST_ROWS  # a digest, a number and a url each; beyond, both sides are exchanged
+    x = p.join(F.broadcast(first) if few else first, "digest", "left").repartition(n_files).withColumn("kept", F.col("shared").isNull() | (F.col("page_id").eqNullSafe(F.col("first_page")) & F.col("url").eqNullSafe(F.col("first_url"))))
     one_line = F.regexp_replace("url", "[\\r\\n]+", "%0A")
     own = record_id("response", F.col("page_id"), F.col("url"), F.col("digest"))
     stored_as = record_id("response", F.col("first_page"), F.col("first_url"), F.col("digest"))
@@ -83,7 +85,7 @@ def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) ->
     """Writes pages as *.warc.gz-format files (one gzip stream each) of at most about file_bytes before compression."""
     total = pages.agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 1500).alias("n")).first()["n"] or 0
     out = records(pages, blocks_for(total, file_bytes))
-    out.write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    out.write.option("lineSep", "\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
     return path
 
 
@@ -186,7 +188,7 @@ def captured(spark: SparkSession, pages: DataFrame, path: str) -> DataFrame:
     For a revisit, payload_bytes and payload_digest are those of the record that it refers to.
     """
     write_archives(pages, path)
-    nested = assemble(read_archives(spark, path, ("request", "metadata")))
+    nested = assemble(stored(read_archives(spark, path, ("request", "metadata")), "records"))
     page = F.nullif(F.regexp_extract(F.col("metadata")[0]["block"].cast("string"), "page-id: (-?\\d+)", 1), F.lit("")).cast("long")
     rows = nested.select("capture_id", "uri", "record_type", "n_equal", page.alias("page_id"), "response.payload_bytes", "response.payload_digest", F.col("response.refers_to").alias("stored"))
     target = rows.where("record_type = 'response'").select(F.col("capture_id").alias("stored"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d"))
