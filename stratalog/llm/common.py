@@ -46,7 +46,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "lz4_raw").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
