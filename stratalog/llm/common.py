@@ -57,3 +57,12 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
 
 def blocks_for(total: int, block: int) -> int:
     return max(1, -(-total // block))
+
+
+def shielded(docs: DataFrame, reserved: tuple[str, ...]):
+    """docs with columns of reserved names renamed, and a function that brings a result back to the columns of docs."""
+    other = {c: f"_kept_{c}" for c in docs.columns if c in reserved}
+    while any(o in docs.columns for o in other.values()):
+        other = {c: f"_{o}" for c, o in other.items()}
+    inside = docs.select(*(F.col(f"`{c}`").alias(other.get(c, c)) for c in docs.columns))
+    return inside, lambda df: df.select(*(F.col(f"`{other.get(c, c)}`").alias(c) for c in docs.columns))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import read_table, stored, text_bytes
+from stratalog.llm.common import read_table, shielded, stored, text_bytes
 from stratalog.llm.textvec import ALNUM, Words, chunks
 
 WINDOW, SHINGLE, BLOCK_BYTES = 10, 5, 32 << 20
@@ -196,5 +196,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline stage: documents without a word inside a benchmark window."""
-    marked = mark(docs, read_table(spark, sf_dir, "benchmark"))
-    return marked.where(F.size("spans") == 0).select(*docs.columns)
+    inside, back = shielded(docs, ("n_words", "spans", "items", "_text"))
+    return back(mark(inside, read_table(spark, sf_dir, "benchmark")).where(F.size("spans") == 0))

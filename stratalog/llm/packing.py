@@ -6,7 +6,7 @@ places inside a sentence.  Its cost is padding plus penalties.  As padding is li
 window's start, the best predecessor is a sliding minimum, kept in a monotone queue: every cut enters and leaves
 it once.  A window of a power of two tokens needs no padding: those few predecessors are tried too.
 
-The stream is packed in stretches of about a million tokens, so memory is bounded by a stretch
+The stream is packed in stretches of about half a million tokens, so memory is bounded by a stretch
 or by one document, and every partition on its own, so nothing is shuffled.  Sequences never span stretches.
 
 Defined results: a null text is an empty one, and an empty document is one piece, the closing
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from stratalog.llm.common import read_table
 
-LENGTH, STRETCH = 1024, 1 << 20
+LENGTH, STRETCH = 1024, 1 << 19
 SENTENCE_COST, INSIDE_COST = 3, 48
 END = 0
 TOKENIZER = "byte_bpe_50k.json"

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import read_table
+from stratalog.llm.common import read_table, shielded
 
 CANDIDATE = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----)?|(?<![A-Za-z0-9+/_=\-.])(?=[A-Za-z_\-+/=.]*\d)[A-Za-z0-9+/_=\-.]{16,}")
 LETTER = re.compile(r"[A-Za-z]")
@@ -197,23 +197,28 @@ def _fit(findings) -> Forest:
 FINDING = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("score", pa.float64())])
 
 
+def found(text: str, path: str, forest: Forest, threshold: float = 0.5) -> list[dict]:
+    out = []
+    for a, b, value in candidates(text):
+        p = forest.score(features(value, text[max(0, a - NEIGHBOURS) : a], text[b : b + NEIGHBOURS], path))
+        if p >= threshold:
+            out.append({"start": a, "end": b, "value": value, "score": p})
+    return out
+
+
+def _paths(documents: DataFrame, path: str):
+    return F.coalesce(F.col(path).cast("string"), F.lit("")) if path in documents.columns else F.lit("")
+
+
 def scanned(documents: DataFrame, forest: Forest, keep: list[str] | None = None, threshold: float = 0.5, path: str = "source") -> DataFrame:
     """The kept columns (all, unless given) and findings: an array of start, end (in characters), value and score."""
     keep = [c for c in (keep or documents.columns) if c != "findings"]
     sent = documents.sparkSession.sparkContext.broadcast(forest)  # bounded by the number and depth of its trees
-    place = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in documents.columns else F.lit("")
-    source = documents.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_text"), place.alias("_path"))
+    source = documents.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_text"), _paths(documents, path).alias("_path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text, where in zip(batch.column("_text").to_pylist(), batch.column("_path").to_pylist(), strict=True):
-                found = []
-                for a, b, value in candidates(text):
-                    p = sent.value.score(features(value, text[max(0, a - NEIGHBOURS) : a], text[b : b + NEIGHBOURS], where))
-                    if p >= threshold:
-                        found.append({"start": a, "end": b, "value": value, "score": p})
-                rows.append(found)
+            rows = [found(t, where, sent.value, threshold) for t, where in zip(batch.column("_text").to_pylist(), batch.column("_path").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(rows, pa.list_(FINDING))], [*keep, "findings"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name in keep)
@@ -222,25 +227,29 @@ def scanned(documents: DataFrame, forest: Forest, keep: list[str] | None = None,
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a finding: doc_id, start, end (in characters), value_sha256 (the value itself is not repeated) and score."""
-    found = scanned(read_table(spark, sf_dir, "documents"), trained(), ["doc_id"]).select("doc_id", F.explode("findings").alias("f"))
-    return found.select("doc_id", "f.start", "f.end", F.sha2(F.col("f.value").cast("binary"), 256).alias("value_sha256"), "f.score")
+    rows = scanned(read_table(spark, sf_dir, "documents"), trained(), ["doc_id"]).select("doc_id", F.explode("findings").alias("f"))
+    return rows.select("doc_id", "f.start", "f.end", F.sha2(F.col("f.value").cast("binary"), 256).alias("value_sha256"), "f.score")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str, mark: str = "[SECRET]") -> DataFrame:
     """The pipeline stage: every document stays; each finding in its text is replaced by a mark, and n_chars follows."""
-    found = scanned(docs, trained())
+    forest = spark.sparkContext.broadcast(trained())
+    inside, back = shielded(docs, ("_path",))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {c: batch.column(c) for c in batch.schema.names if c != "findings"}
-            findings, texts = batch.column("findings").to_pylist(), columns["text"].to_pylist()
-            for k, own in enumerate(findings):
+            columns = {c: batch.column(c) for c in batch.schema.names if c != "_path"}
+            texts = columns["text"].to_pylist()
+            sizes = columns["n_chars"].to_pylist() if "n_chars" in columns else [None] * len(texts)
+            for k, where in enumerate(batch.column("_path").to_pylist()):
+                own = found(texts[k] or "", where, forest.value)
                 for f in reversed(own):
                     texts[k] = texts[k][: f["start"]] + mark + texts[k][f["end"] :]
+                if own:
+                    sizes[k] = len(texts[k])
             columns["text"] = pa.array(texts, pa.string())
             if "n_chars" in columns:
-                sizes = [len(t) if own else n for t, own, n in zip(texts, findings, columns["n_chars"].to_pylist(), strict=True)]
                 columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return found.mapInArrow(run, docs.schema)
+    return back(inside.withColumn("_path", _paths(inside, "source")).mapInArrow(run, inside.schema))

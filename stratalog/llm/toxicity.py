@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import read_table, stored
+from stratalog.llm.common import read_table, shielded, stored
 
 #: Neutral terms for groups of people, by family; terms of one family are swapped for each other.
 IDENTITY_TERMS = (
@@ -74,7 +74,7 @@ class ToxicityModel:
     def _of(self, word: str) -> tuple:
         got = self.memo.get(word)
         if got is None:
-            if len(self.memo) > 300_000:
+            if len(self.memo) > 100_000:
                 self.memo.clear()
             got = self.memo[word] = tuple(f for f in features(word, self.prefix_lengths) if f in self.weights)
         return got
@@ -259,4 +259,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.5) -> DataFrame:
     """The pipeline stage: documents scored under the threshold, with their columns as they came."""
     model = train(docs, read_table(spark, sf_dir, "labels"))
-    return score(docs, model).where(F.col("score") < threshold).select(*docs.columns)
+    inside, back = shielded(docs, ("score",))
+    return back(score(inside, model).where(F.col("score") < threshold))

@@ -112,3 +112,20 @@ def test_stages_keep_columns_and_clean_rows(spark, name):
     assert out.schema.names == docs.schema.names
     n = out.count()
     assert 600 < n <= 1000 and (n == 1000) == (name == "redact")
+
+
+def test_stages_with_clashing_columns(spark):
+    """Columns of a stage's own names come through as they were."""
+    from pyspark.sql import functions as F
+
+    from stratalog.llm import decontaminate, neardup
+
+    sf = "/root/testdata/sf0.001"
+    names = ["score", "spans", "items", "n_words", "_text", "_path", "findings", "node", "kept", "component_id", "_kept_score"]
+    docs = cases.real(spark, sf).select("*", *(F.concat(F.lit(f"{n} "), F.col("doc_id").cast("string")).alias(n) for n in names))
+    for stage in (toxicity.keep_clean, neardup.keep_one, decontaminate.keep_clean, secret_scan.redact):
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n} {r.doc_id}" for r in rows for n in names)
+        assert stage(spark, docs.limit(0), sf).collect() == []
