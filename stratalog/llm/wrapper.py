@@ -27,9 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import read_table
+from stratalog.llm.common import read_table, stored
 
-LEAST_PAGES, SHARE = 4, 0.8
+LEAST_PAGES, SHARE, BROADCAST_BYTES = 4, 0.8, 16 << 20
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*(?:>|\Z)|<[a-zA-Z/][^>]*\Z|[^<]++|<", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Elements by their part in a page.
@@ -289,8 +289,10 @@ def main_text(html: str | None, reference: str | None = None, template: frozense
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, one row for each page."""
-    wrappers = induce(pages).withColumnRenamed("host", "_host")
-    joined = pages.select("page_id", "url", "html", host(F.col("url")).alias("_host")).join(wrappers, "_host", "left").select("page_id", "url", "html", "reference", "template")
+    wrappers = stored(induce(pages).withColumnRenamed("host", "_host"), "wrappers")
+    size = wrappers.agg(F.sum(F.octet_length("_host") + F.octet_length("reference") + 16 * F.size("template")).alias("n")).first()["n"] or 0
+    few = size <= BROADCAST_BYTES  # beyond, pages are exchanged by host
+    joined = pages.select("page_id", "url", "html", host(F.col("url")).alias("_host")).join(F.broadcast(wrappers) if few else wrappers, "_host", "left").select("page_id", "url", "html", "reference", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -226,8 +226,10 @@ def test_parts_left_out():
     assert wrapper.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
-def test_template_is_induced(spark):
+@pytest.mark.parametrize("most", [16 << 20, -1])
+def test_template_is_induced(spark, monkeypatch, most):
     """Without any telling markup, what is constant on a host goes and what varies stays; copies do not vote for their own text."""
+    monkeypatch.setattr(wrapper, "BROADCAST_BYTES", most)
     page = lambda k: f"<html><body><div>Our site since 1999</div><div><h1>Title {k}</h1><p>Story {k} text.</p><p>More of {k}.</p></div><div>Call us now</div></body></html>"
     rows = [(k, f"http://host.example/{k}", page(k)) for k in range(8)] + [(100 + k, "http://copies.example/x", page(1)) for k in range(8)] + [(300, None, None), (301, "http://host.example/9", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
