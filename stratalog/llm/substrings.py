@@ -11,6 +11,8 @@ only as deep as 50 bytes, and refined from buckets, never sorted whole:
    are one row with the least document id.  Buckets with unequal contexts are refined by bucket pointers: suffixes get ranks of 8 bytes, then
    ranks of 24 and 50 bytes by sorting on the bucket's own number and the bucket numbers at two later
    offsets, each round reusing the numbers of the one before.  The least id of each rank comes back to the batches.
+   An anchor in more places than `hot` (a short phrase whose surroundings all differ) is no bucket of its own: each of its strings
+   is filed by its own hash, so equal strings still meet, over all ranges, and one row a batch and string is the most that does.
 3. Each batch marks what its documents share with smaller ids.
 
 Documents are exchanged once, by batch; the three passes read the same exchange.  A batch, or a range of
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +41,8 @@ SPAN, GRAM = 50, 20
 STEPS = SPAN - GRAM + 1
 SLICE, BATCH, RANGE, REFINE = 1 << 20, 4 << 20, 16 << 20, 1 << 20
 PLACE = U64((1 << 24) - 1)
+#: Places of an anchor from which it is hot, and those in one batch that are counted out.
+HOT, OFTEN = 1 << 15, 8
 
 
 def _eights(buffer: bytes) -> np.ndarray:
@@ -108,10 +113,12 @@ class Batch:
         start = np.flatnonzero(new)
         ends = np.concatenate([start[1:], [len(key)]]) - 1 if len(key) else start
         self.many = text[start] != text[ends]
+        self.count = ends - start + 1
         distinct = key[start]
         self.range = ((distinct >> U64(32)) % U64(ranges)).astype(np.int64)
         by_range = np.lexsort((distinct, self.range))
-        self.many, self.range, distinct = self.many[by_range], self.range[by_range], distinct[by_range]
+        self.many, self.count, self.range, distinct = self.many[by_range], self.count[by_range], self.range[by_range], distinct[by_range]
+        self.ranges = ranges
         self.low = (distinct & U64(0xFFFFFFFF)).astype("<u4")
         rank = np.empty(len(by_range), np.int64)
         rank[by_range] = np.arange(len(by_range))
@@ -123,23 +130,34 @@ class Batch:
         for a, b in zip(self.edges, [*self.edges[1:], len(self.range)], strict=True):
             yield int(self.range[a]), int(a), int(b)
 
-    def contexts(self, shared: np.ndarray) -> dict[int, dict[tuple[int, bytes], list[tuple[int, int, int]]]]:
-        """By range: (key, context) -> (text, first, last) of the anchors that have it, smallest id first."""
+    def contexts(self, shared: np.ndarray, hot: np.ndarray) -> dict[int, dict[tuple[int, bytes], list[tuple[int, int, int]]]]:
+        """By range: (key, context) -> (text, first, last) of the anchors that have it, smallest id first.
+
+        Of hot anchors each string is a context, and its hash the key.
+        """
         a, out, texts = self.anchors, defaultdict(dict), self.texts
         k = np.flatnonzero(shared[self.number]) if len(self.number) else np.empty(0, np.int64)
         keys = (a.key[k] ^ U64(1 << 63)).view(np.int64)
-        for r, key, t, first, last in zip(*(x.tolist() for x in (self.range[self.number[k]], keys, a.text[k], a.first[k], a.last[k])), strict=True):
-            out[r].setdefault((key, texts[t][first : last + SPAN]), []).append((t, first, last))
+        for r, key, t, first, last, apart in zip(*(x.tolist() for x in (self.range[self.number[k]], keys, a.text[k], a.first[k], a.last[k], hot[self.number[k]])), strict=True):
+            if not apart:
+                out[r].setdefault((key, texts[t][first : last + SPAN]), []).append((t, first, last))
+                continue
+            for at in range(first, last + 1):
+                string = texts[t][at : at + SPAN]
+                h = xxhash.xxh64_intdigest(string)
+                out[(h >> 32) % self.ranges].setdefault((h - (1 << 63), string), []).append((t, at, at))
         return out
 
 
-def _bits(table: pa.Table, batch: Batch) -> np.ndarray:
-    shared = np.zeros(len(batch.low), bool)
-    of = dict(zip(table.column("range").to_pylist(), table.column("bits").to_pylist(), strict=True))
+def _bits(table: pa.Table, batch: Batch) -> tuple[np.ndarray, np.ndarray]:
+    """Of the batch's keys which are shared, and which of those hot."""
+    shared, hot = np.zeros(len(batch.low), bool), np.zeros(len(batch.low), bool)
+    of = {r: (x, y) for r, x, y in zip(*(table.column(c).to_pylist() for c in ("range", "bits", "hot")), strict=True) if x is not None}
     for r, a, b in batch.spans():
-        if r in of:
-            shared[a:b] = np.unpackbits(np.frombuffer(of[r], np.uint8), count=b - a).astype(bool)
-    return shared
+        for out, bits in zip((shared, hot), of.get(r, ()), strict=False):
+            if bits:
+                out[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+    return shared, hot
 
 
 def refined(contexts: list[bytes], ids: list[int]) -> list[np.ndarray]:
@@ -177,8 +195,12 @@ def _renumbered(bucket: np.ndarray, places: np.ndarray, offsets: tuple[int, ...]
 def _keys(ranges: int):
     def run(group: pa.Table) -> pa.Table:
         b = Batch(group, ranges)
-        rows = [(r, group.column("batch")[0].as_py(), b.low[x:y].tobytes(), np.packbits(b.many[x:y]).tobytes()) for r, x, y in b.spans()]
-        return _table(rows, ["range", "batch", "low", "many"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+        rows = []
+        for r, x, y in b.spans():
+            often = np.flatnonzero(b.count[x:y] >= OFTEN)
+            counts = np.stack([often, b.count[x:y][often]], axis=1).astype("<u4").tobytes()
+            rows.append((r, group.column("batch")[0].as_py(), b.low[x:y].tobytes(), np.packbits(b.many[x:y]).tobytes(), counts))
+        return _table(rows, ["range", "batch", "low", "many", "often"], [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])
 
     return run
 
@@ -188,17 +210,26 @@ def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
     return pa.table({n: pa.array(c, t) for n, c, t in zip(names, columns, types, strict=True)})
 
 
-def _shared(group: pa.Table) -> pa.Table:
-    low = [np.frombuffer(x, "<u4") for x in group.column("low").to_pylist()]
-    many = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool) for x, k in zip(group.column("many").to_pylist(), low, strict=True)]
-    keys, inverse, counts = np.unique(np.concatenate(low), return_inverse=True, return_counts=True)
-    shared = counts > 1
-    shared[inverse[np.concatenate(many)]] = True
-    rows = []
-    for r, batch, bits in zip(group.column("range").to_pylist(), group.column("batch").to_pylist(), np.split(shared[inverse], np.cumsum([len(k) for k in low])[:-1]), strict=True):
-        if bits.any():
-            rows.append((batch, r, np.packbits(bits).tobytes()))
-    return _table(rows, ["batch", "range", "bits"], [pa.int64(), pa.int64(), pa.binary()])
+def _shared(hot: int):
+    def run(group: pa.Table) -> pa.Table:
+        low = [np.frombuffer(x, "<u4") for x in group.column("low").to_pylist()]
+        many = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool) for x, k in zip(group.column("many").to_pylist(), low, strict=True)]
+        keys, inverse, counts = np.unique(np.concatenate(low), return_inverse=True, return_counts=True)
+        shared = counts > 1
+        shared[inverse[np.concatenate(many)]] = True
+        edges = np.cumsum([len(k) for k in low])[:-1]
+        own = np.split(inverse, edges)
+        for k, often in zip(own, group.column("often").to_pylist(), strict=True):
+            pairs = np.frombuffer(often, "<u4").reshape(-1, 2).astype(np.int64)
+            counts[k[pairs[:, 0]]] += pairs[:, 1] - 1
+        much = shared & (counts > hot)
+        rows = []
+        for r, batch, k in zip(group.column("range").to_pylist(), group.column("batch").to_pylist(), own, strict=True):
+            if shared[k].any():
+                rows.append((batch, r, np.packbits(shared[k]).tobytes(), np.packbits(much[k]).tobytes() if much[k].any() else b""))
+        return _table(rows, ["batch", "range", "bits", "hot"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+
+    return run
 
 
 def _contexts(ranges: int):
@@ -206,7 +237,7 @@ def _contexts(ranges: int):
         rows = []
         if group.num_rows and bits.num_rows:
             b = Batch(group, ranges)
-            for r, found in b.contexts(_bits(bits, b)).items():
+            for r, found in b.contexts(*_bits(bits, b)).items():
                 rows.append((r, group.column("batch")[0].as_py(), [k for k, _ in found], [c for _, c in found], [b.ids[at[0][0]] for at in found.values()]))
         return _table(rows, ["range", "batch", "keys", "contexts", "ids"], [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64())])
 
@@ -269,6 +300,8 @@ def _removed(ranges: int):
             texts, ids = b.texts, b.ids
             # the same keys are shared as in the pass before: those of the contexts that came back
             for r, lows, context, string, then in zip(*(least.column(c).to_pylist() for c in ("range", "least", "context", "string", "then")), strict=True):
+                if lows is None:  # a row of bits
+                    continue
                 changes = defaultdict(list)
                 for j, s, d in zip(context, string, then, strict=True):
                     changes[j].append((s, d))
@@ -306,21 +339,21 @@ def _removed(ranges: int):
 def self_contexts(b: Batch, least: pa.Table):
     """The contexts in the order in which they were sent; kept with the batch."""
     if not hasattr(b, "sent"):
-        b.sent = b.contexts(_bits(least, b))
+        b.sent = b.contexts(*_bits(least, b))
     return b.sent
 
 
-def repeated_substrings(documents: DataFrame, batch_bytes: int = BATCH, range_bytes: int = RANGE) -> DataFrame:
+def repeated_substrings(documents: DataFrame, batch_bytes: int = BATCH, range_bytes: int = RANGE, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and removed (starts and ends of the removed runs, in bytes), a row a document."""
     total = text_bytes(documents)
     batches, ranges = blocks_for(total, batch_bytes), blocks_for(total, range_bytes)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     docs = documents.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("batch"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    keys = docs.groupBy("batch").applyInArrow(_keys(ranges), "range long, batch long, low binary, many binary")
-    bits = keys.groupBy("range").applyInArrow(_shared, "batch long, range long, bits binary")
+    keys = docs.groupBy("batch").applyInArrow(_keys(ranges), "range long, batch long, low binary, many binary, often binary")
+    bits = keys.groupBy("range").applyInArrow(_shared(hot), "batch long, range long, bits binary, hot binary")
     contexts = docs.groupBy("batch").cogroup(bits.groupBy("batch")).applyInArrow(_contexts(ranges), "range long, batch long, keys array<long>, contexts array<binary>, ids array<long>")
     least = contexts.groupBy("range").applyInArrow(_least, "batch long, range long, least array<long>, context array<long>, string array<long>, then array<long>")
-    answers = least.join(bits, ["batch", "range"])
+    answers = least.unionByName(bits, allowMissingColumns=True)  # both kinds of rows go to their batch
     return docs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_removed(ranges), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>")
 
 

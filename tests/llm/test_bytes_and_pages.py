@@ -53,13 +53,23 @@ def mixed(n=120, seed=4):
     return out + [(None, passages[0]), (500, None), (501, "a" * 3000), (502, "a" * 120), (503, "ab" * 90), (7, passages[1] * 2), (7, passages[1] * 2)]
 
 
-@pytest.mark.parametrize("batch_bytes,range_bytes", [(4 << 20, 16 << 20), (2000, 3000)])
-def test_substrings_mixed(spark, batch_bytes, range_bytes):
+@pytest.mark.parametrize("batch_bytes,range_bytes,hot", [(4 << 20, 16 << 20, 1 << 15), (2000, 3000, 1 << 15), (2000, 3000, 10), (2000, 3000, 0)])
+def test_substrings_mixed(spark, batch_bytes, range_bytes, hot):
     rows = mixed()
-    got = substrings.repeated_substrings(cases.documents(spark, rows), batch_bytes, range_bytes).drop("removed").collect()
+    got = substrings.repeated_substrings(cases.documents(spark, rows), batch_bytes, range_bytes, hot).drop("removed").collect()
     assert sorted(map(tuple, got), key=str) == sorted(removed(rows), key=str)
 
 
+def test_substrings_hot_phrase(spark):
+    """A phrase of 30 bytes in every text, between words of the text's own; some texts share those too."""
+    rng = random.Random(8)
+    phrase = "all rights reserved worldwide!"
+    rows = [(k, f"{rng.randrange(150):040d}{phrase}{rng.randrange(150):040d}") for k in range(600)]
+    for hot in (1 << 15, 300):
+        got = substrings.repeated_substrings(cases.documents(spark, rows), 9000, 9000, hot).drop("removed").collect()
+        assert sorted(map(tuple, got)) == sorted(removed(rows))
+
+
 def test_substrings_slices(spark, monkeypatch):
     monkeypatch.setattr(substrings, "SLICE", 100)
     texts = [(t or "").encode() for _, t in mixed()]
