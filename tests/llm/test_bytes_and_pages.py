@@ -236,15 +236,16 @@ def test_parts_left_out():
     assert wrapper.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
-@pytest.mark.parametrize("most", [16 << 20, -1])
-def test_template_is_induced(spark, monkeypatch, most):
+@pytest.mark.parametrize("most,hot_hosts", [(16 << 20, 256), (-1, 256), (-1, 2), (-1, 1)])  # broadcast; all hot; one hot, one not; none hot
+def test_template_is_induced(spark, monkeypatch, most, hot_hosts):
     """Without any telling markup, what is constant on a host goes and what varies stays; copies do not vote for their own text."""
     monkeypatch.setattr(wrapper, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(wrapper, "HOT_HOSTS", hot_hosts)
     page = lambda k: f"<html><body><div>Our site since 1999</div><div><h1>Title {k}</h1><p>Story {k} text.</p><p>More of {k}.</p></div><div>Call us now</div></body></html>"
-    rows = [(k, f"http://host.example/{k}", page(k)) for k in range(8)] + [(100 + k, "http://copies.example/x", page(1)) for k in range(8)] + [(300, None, None), (301, "http://host.example/9", "")]
+    rows = [(k, f"http://host.example/{k}", page(k)) for k in range(8)] + [(100 + k, "http://copies.example/x", page(1)) for k in range(8)] + [(200 + k, f"http://other.example/{k}", page(k).replace("Our", "Their")) for k in range(5)] + [(300, None, None), (301, "http://host.example/9", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in wrapper.extracted(pages).collect()}
-    assert got[3] == "Title 3\nStory 3 text.\nMore of 3."
+    assert got[3] == got[203] == "Title 3\nStory 3 text.\nMore of 3."
     assert "Story 1 text." in got[100] and got[300] == got[301] == "" and len(got) == len(rows)
     assert wrapper.extracted(pages.limit(0)).collect() == []
 
