@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes that go to a Python worker at once, at most.
 BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+#: A table of at most so many bytes is broadcast; a key with more than one in HOT_KEYS of all rows is hot.
+BROADCAST_BYTES, HOT_KEYS = 16 << 20, 256
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -66,3 +68,24 @@ def shielded(docs: DataFrame, reserved: tuple[str, ...]):
         other = {c: f"_{o}" for c, o in other.items()}
     inside = docs.select(*(F.col(f"`{c}`").alias(other.get(c, c)) for c in docs.columns))
     return inside, lambda df: df.select(*(F.col(f"`{other.get(c, c)}`").alias(c) for c in docs.columns))
+
+
+def keyed_join(df: DataFrame, table: DataFrame, key: str, spread: list[str], how: str = "inner") -> DataFrame:
+    """df joined (inner or left) by key with a stored table of one row a key, which has n_rows, the key's rows; n_rows is left out.
+
+    No key's rows meet in one task, however many it has.  A small table (BROADCAST_BYTES, checked) is broadcast.  Of a larger one just the
+    hot keys are, fewer than HOT_KEYS; rows of the rest are exchanged by key, those of hot keys by a hash of the columns in spread.
+    """
+    columns = [c for c in table.columns if c not in (key, "n_rows")]
+    bytes_of = {c: F.octet_length(c) if t == "string" else 16 * F.size(c) if t.startswith("array") else F.lit(8) for c, t in table.dtypes if c != "n_rows"}
+    size, rows = table.agg(F.sum(sum(F.coalesce(x, F.lit(0)) for x in bytes_of.values())), F.sum("n_rows")).first()
+    if (size or 0) <= BROADCAST_BYTES:
+        return df.join(F.broadcast(table.drop("n_rows")), key, how)
+    is_hot = F.col("n_rows") * HOT_KEYS > rows
+    hot, cold = (table.where(x).select(F.col(key).alias(f"_{side}"), F.struct(*columns).alias(f"_of_{side}")) for x, side in ((is_hot, "hot"), (~is_hot, "cold")))
+    out = df.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    place = F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.concat(F.lit("\u0001"), F.xxhash64(*spread).cast("string")))  # no key has that character
+    out = out.withColumn("_place", place).join(cold, F.col("_place") == F.col("_cold"), "left")
+    if how == "inner":
+        out = out.where("_hot is not null or _cold is not null")
+    return out.select(*df.columns, *(F.coalesce(f"_of_hot.{c}", f"_of_cold.{c}").alias(c) for c in columns))

@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import blocks_for, read_table, shared_dir, stored
+from stratalog.llm.common import blocks_for, keyed_join, read_table, shared_dir, stored
 
-LEAST_REVISIT, FILE_BYTES, BROADCAST_ROWS = 100, 16 << 20, 100_000
+LEAST_REVISIT, FILE_BYTES = 100, 16 << 20
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"  # pages carry no time of capture
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -53,10 +53,9 @@ def records(pages: DataFrame, n_files: int) -> DataFrame:
     p = p.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("size", F.octet_length("html"))
     order = F.struct(F.col("page_id").isNull().alias("n"), F.col("page_id").alias("page_id"), F.coalesce("url", F.lit("")).alias("u"), F.col("url").alias("url"))
     large = p.where(F.col("size") >= LEAST_REVISIT).select("digest", order.alias("o"))
-    first = large.groupBy("digest").agg(F.min("o").alias("o"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("o.page_id").alias("first_page"), F.col("o.url").alias("first_url"), F.lit(True).alias("shared"))
+    first = large.groupBy("digest").agg(F.min("o").alias("o"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("o.page_id").alias("first_page"), F.col("o.url").alias("first_url"), F.lit(True).alias("shared"), F.col("n").alias("n_rows"))
     first = stored(first, "shared-payloads")
-    few = first.count() <= BROADCAST_ROWS  # a digest, a number and a url each; beyond, both sides are exchanged
-    x = p.join(F.broadcast(first) if few else first, "digest", "left").repartition(n_files).withColumn("kept", F.col("shared").isNull() | (F.col("page_id").eqNullSafe(F.col("first_page")) & F.col("url").eqNullSafe(F.col("first_url"))))
+    x = keyed_join(p, first, "digest", ["page_id", "url"], "left").repartition(n_files).withColumn("kept", F.col("shared").isNull() | (F.col("page_id").eqNullSafe(F.col("first_page")) & F.col("url").eqNullSafe(F.col("first_url"))))
     one_line = F.regexp_replace("url", "[\\r\\n]+", "%0A")
     own = record_id("response", F.col("page_id"), F.col("url"), F.col("digest"))
     stored_as = record_id("response", F.col("first_page"), F.col("first_url"), F.col("digest"))

@@ -27,9 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import read_table, stored
+from stratalog.llm.common import keyed_join, read_table, stored
 
-LEAST_PAGES, SHARE, BROADCAST_BYTES, HOT_HOSTS = 4, 0.8, 16 << 20, 256
+LEAST_PAGES, SHARE = 4, 0.8
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*(?:>|\Z)|<[a-zA-Z/][^>]*\Z|[^<]++|<", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Elements by their part in a page.
@@ -264,37 +264,15 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("title"), pa.array(slots, pa.list_(pa.int64())), batch.column("hashes")], ["host", "title", "slots", "hashes"])
 
 
-def by_host(df: DataFrame, hosts: DataFrame, spread: list[str], how: str = "inner") -> DataFrame:
-    """df joined by host with a stored table of one row a host, which has n_pages: no host's rows meet in one task, however many it has.
-
-    A small table (BROADCAST_BYTES, checked) is broadcast.  Of a larger one just the hot hosts are, those with more than one in HOT_HOSTS of its
-    pages, fewer than HOT_HOSTS rows; rows of the rest are exchanged by host, those of hot hosts by a hash of the columns in spread.
-    """
-    columns = [c for c in hosts.columns if c not in ("host", "n_pages")]
-    bytes_of = {"string": F.octet_length, "bigint": lambda c: F.lit(8)}
-    size = sum((bytes_of.get(t, lambda c: 16 * F.size(c))(c) for c, t in hosts.dtypes if c in columns), F.octet_length("host"))
-    n, pages = hosts.agg(F.sum(size), F.sum("n_pages")).first()
-    if (n or 0) <= BROADCAST_BYTES:
-        return df.join(F.broadcast(hosts.drop("n_pages")), "host", how)
-    is_hot = F.col("n_pages") * HOT_HOSTS > pages
-    hot, cold = (hosts.where(x).select(F.col("host").alias(f"_{side}"), F.struct(*columns).alias(f"_of_{side}")) for x, side in ((is_hot, "hot"), (~is_hot, "cold")))
-    out = df.join(F.broadcast(hot), F.col("host") == F.col("_hot"), "left")
-    key = F.when(F.col("_hot").isNull(), F.col("host")).otherwise(F.concat(F.lit("\u0001"), F.xxhash64(*spread).cast("string")))  # no host has that character
-    out = out.withColumn("_key", key).join(cold, F.col("_key") == F.col("_cold"), "left")
-    if how == "inner":
-        out = out.where("_hot is not null or _cold is not null")
-    return out.select(*df.columns, *(F.coalesce(f"_of_hot.{c}", f"_of_cold.{c}").alias(c) for c in columns))
-
-
 def induce(pages: DataFrame) -> DataFrame:
-    """Wrappers: host, n_pages, reference (a tree), template (slots and hashes of texts that stand on nearly all pages); hosts without template texts have none."""
+    """Wrappers: host, n_rows (pages), reference (a tree), template (slots and hashes of texts that stand on nearly all pages); hosts without template texts have none."""
     trees = pages.select(host(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("row"), "html").mapInArrow(_trees, "host string, row long, tree string, title long, hashes array<long>, paths array<string>")
-    references = trees.groupBy("host").agg(F.max(F.struct(F.length("tree").alias("n"), F.col("tree").alias("reference"))).alias("r"), F.count_distinct("title").alias("n_titles"), F.count("*").alias("n_pages"))
-    references = stored(references.where(F.col("n_titles") >= LEAST_PAGES).select("host", "n_pages", "r.reference", "n_titles"), "references")
-    votes = by_host(trees, references.drop("n_titles"), ["row"]).select("host", "tree", "reference", "title", "hashes", "paths").mapInArrow(_slots, "host string, title long, slots array<long>, hashes array<long>")
+    references = trees.groupBy("host").agg(F.max(F.struct(F.length("tree").alias("n"), F.col("tree").alias("reference"))).alias("r"), F.count_distinct("title").alias("n_titles"), F.count("*").alias("n_rows"))
+    references = stored(references.where(F.col("n_titles") >= LEAST_PAGES).select("host", "n_rows", "r.reference", "n_titles"), "references")
+    votes = keyed_join(trees, references.drop("n_titles"), "host", ["row"]).select("host", "tree", "reference", "title", "hashes", "paths").mapInArrow(_slots, "host string, title long, slots array<long>, hashes array<long>")
     votes = votes.select("host", "title", F.explode(F.arrays_zip("slots", "hashes")).alias("x")).select("host", "x.slots", "x.hashes", "title").distinct()
     counted = votes.groupBy("host", "slots", "hashes").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
-    constant = by_host(counted, references.drop("reference"), ["slots", "hashes"]).where(F.col("n") >= SHARE * F.col("n_titles"))
+    constant = keyed_join(counted, references.drop("reference"), "host", ["slots", "hashes"]).where(F.col("n") >= SHARE * F.col("n_titles"))
     # at most 1 / SHARE times the blocks of a page
     templates = constant.groupBy("host").agg(F.collect_list(F.struct(F.col("slots").alias("slot"), F.col("hashes").alias("hash"))).alias("template"))
     return references.drop("n_titles").join(templates, "host")
@@ -313,7 +291,7 @@ def main_text(html: str | None, reference: str | None = None, template: frozense
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, one row for each page."""
     wrappers = stored(induce(pages), "wrappers")
-    joined = by_host(pages.select("page_id", "url", "html", host(F.col("url")).alias("host")), wrappers, ["page_id", "url"], "left").select("page_id", "url", "html", "reference", "template")
+    joined = keyed_join(pages.select("page_id", "url", "html", host(F.col("url")).alias("host")), wrappers, "host", ["page_id", "url"], "left").select("page_id", "url", "html", "reference", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,7 +9,7 @@ from html import unescape
 import cases
 import pytest
 
-from stratalog.llm import fingerprints, substrings, warc, wrapper
+from stratalog.llm import common, fingerprints, substrings, warc, wrapper
 
 
 def sha(b):
@@ -175,7 +175,10 @@ PAGES = [
 ]
 
 
-def test_archives_small(spark, tmp_path):
+@pytest.mark.parametrize("most,hot_keys", [(16 << 20, 256), (-1, 256), (-1, 2), (-1, 1)])
+def test_archives_small(spark, tmp_path, monkeypatch, most, hot_keys):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(common, "HOT_KEYS", hot_keys)
     pages = spark.createDataFrame([(*r, "x") for r in PAGES], "page_id long, url string, html string, type string")
     got = warc.captured(spark, pages, f"file://{tmp_path}/w").drop("uri").collect()
     assert sorted(map(tuple, got), key=str) == sorted(expected(PAGES), key=str)
@@ -239,8 +242,8 @@ def test_parts_left_out():
 @pytest.mark.parametrize("most,hot_hosts", [(16 << 20, 256), (-1, 256), (-1, 2), (-1, 1)])  # broadcast; all hot; one hot, one not; none hot
 def test_template_is_induced(spark, monkeypatch, most, hot_hosts):
     """Without any telling markup, what is constant on a host goes and what varies stays; copies do not vote for their own text."""
-    monkeypatch.setattr(wrapper, "BROADCAST_BYTES", most)
-    monkeypatch.setattr(wrapper, "HOT_HOSTS", hot_hosts)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(common, "HOT_KEYS", hot_hosts)
     page = lambda k: f"<html><body><div>Our site since 1999</div><div><h1>Title {k}</h1><p>Story {k} text.</p><p>More of {k}.</p></div><div>Call us now</div></body></html>"
     rows = [(k, f"http://host.example/{k}", page(k)) for k in range(8)] + [(100 + k, "http://copies.example/x", page(1)) for k in range(8)] + [(200 + k, f"http://other.example/{k}", page(k).replace("Our", "Their")) for k in range(5)] + [(300, None, None), (301, "http://host.example/9", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
