@@ -3,9 +3,10 @@
 A page becomes a tree of its block elements in which runs of like siblings are one repeated node,
 so a tree is small however long its page.  Of each host the richest tree is the reference; every
 page of the host is aligned with it by simple tree matching.  Text that stands in the same aligned
-node on nearly all pages of a host is template; slots that vary are content.  Pages vote once a title, so
-copies of one article do not make its text a template, and votes are counts that merge: all
-pages of a host vote, in no one task.
+node on nearly all pages of a host is template; slots that vary are content.  Copies of one article vote
+once, so they do not make its text a template, and votes are counts that merge: all
+pages of a host vote, in no one task.  Copies are told by their first h1 that the markup does not leave out; where
+there is none, or one outside article and main stands on nearly all differing pages (the site's name), by all the text not left out.
 
 From the slots, what the markup itself names as a menu, header, footer, sidebar, notice, advert, form, script, style
 or reader comment is left out, and of what is left the article is taken (else main, else the body).
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from stratalog.llm.common import keyed_join, read_table, stored
 
-LEAST_PAGES, SHARE = 4, 0.8
+LEAST_PAGES, SHARE = 2, 0.8
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*(?:>|\Z)|<[a-zA-Z/][^>]*\Z|[^<]++|<", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Elements by their part in a page.
@@ -245,17 +246,31 @@ def host(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][^:/?#]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def copy_key(found: list) -> tuple[int, int, bool]:
+    """What a page's copies share: the hash of its first h1 not left out (in an article or main, if there is one there), that of all text
+    not left out, and whether the h1 may be the site's name. Without such an h1 the first is the second."""
+    own = [b for b in found if not b[3]]
+    body = text_hash("\n".join(b[0] for b in own))
+    heads = [b for b in own if b[1].tag == "h1"]
+    if not heads:
+        return body, body, False
+    head = next((b for b in heads if b[4]), heads[0])
+    return text_hash(f"{min(head[4], 1)} {head[0]}"), body, not head[4]
+
+
+TREE_TYPES = {"tree": pa.string(), "title": pa.int64(), "body": pa.int64(), "unsure": pa.bool_(), "hashes": pa.list_(pa.int64()), "paths": pa.list_(pa.string())}
+
+
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for html in batch.column("html").to_pylist():
             root = parse(html or "")
             found = blocks(root)
-            title = next((t for t, n, *_ in found if n.tag == "h1"), None) or (found[0][0] if found else "")
             seen = [(t, path) for t, _, path, *_ in found]
-            rows.append((json.dumps(skeleton(root), separators=(",", ":")), text_hash(title), [text_hash(t) for t, _ in seen], ["\x01".join(p) for _, p in seen]))
-        columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("row"), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int64())), pa.array(columns[3], pa.list_(pa.string()))], ["host", "row", "tree", "title", "hashes", "paths"])
+            rows.append((json.dumps(skeleton(root), separators=(",", ":")), *copy_key(found), [text_hash(t) for t, _ in seen], ["\x01".join(p) for _, p in seen]))
+        columns = list(zip(*rows, strict=True)) or [[]] * len(TREE_TYPES)
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("row"), *(pa.array(c, t) for c, t in zip(columns, TREE_TYPES.values(), strict=True))], ["host", "row", *TREE_TYPES])
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,16 +281,24 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def induce(pages: DataFrame) -> DataFrame:
     """Wrappers: host, n_rows (pages), reference (a tree), template (slots and hashes of texts that stand on nearly all pages); hosts without template texts have none."""
-    trees = pages.select(host(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("row"), "html").mapInArrow(_trees, "host string, row long, tree string, title long, hashes array<long>, paths array<string>")
-    references = trees.groupBy("host").agg(F.max(F.struct(F.length("tree").alias("n"), F.col("tree").alias("reference"))).alias("r"), F.count_distinct("title").alias("n_titles"), F.count("*").alias("n_rows"))
-    references = stored(references.where(F.col("n_titles") >= LEAST_PAGES).select("host", "n_rows", "r.reference", "n_titles"), "references")
-    votes = keyed_join(trees, references.drop("n_titles"), "host", ["row"]).select("host", "tree", "reference", "title", "hashes", "paths").mapInArrow(_slots, "host string, title long, slots array<long>, hashes array<long>")
+    trees = pages.select(host(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("row"), "html").mapInArrow(_trees, "host string, row long, tree string, title long, body long, unsure boolean, hashes array<long>, paths array<string>")
+    # differing pages of each h1, then of each host; pages without text are none
+    richest = F.max(F.struct(F.length("tree").alias("n"), F.col("tree").alias("reference")))
+    differing = trees.where(F.size("hashes") > 0).groupBy("host", "title", "unsure", "body").agg(richest.alias("r"), F.count("*").alias("n_rows"))
+    titles = differing.groupBy("host", "title", "unsure").agg(F.max("r").alias("r"), F.count("*").alias("n_bodies"), F.sum("n_rows").alias("n_rows"))
+    most = F.max(F.when(F.col("unsure"), F.struct("n_bodies", "title")))
+    hosts = titles.groupBy("host").agg(F.max("r").alias("r"), most.alias("most"), F.sum("n_bodies").alias("n_bodies"), F.count("*").alias("n_titles"), F.sum("n_rows").alias("n_rows"))
+    named = F.coalesce((F.col("most.n_bodies") > 1) & (F.col("most.n_bodies") >= SHARE * F.col("n_bodies")), F.lit(False))
+    hosts = hosts.select("host", "n_rows", "r.reference", F.when(named, F.col("most.title")).alias("site"), (F.col("n_titles") + F.when(named, F.col("most.n_bodies") - 1).otherwise(0)).alias("n_titles"))
+    references = stored(hosts.where(F.col("n_titles") >= LEAST_PAGES), "references")
+    votes = keyed_join(trees, references.drop("n_titles"), "host", ["row"]).withColumn("title", F.when(F.col("title") == F.col("site"), F.col("body")).otherwise(F.col("title")))
+    votes = votes.select("host", "tree", "reference", "title", "hashes", "paths").mapInArrow(_slots, "host string, title long, slots array<long>, hashes array<long>")
     votes = votes.select("host", "title", F.explode(F.arrays_zip("slots", "hashes")).alias("x")).select("host", "x.slots", "x.hashes", "title").distinct()
     counted = votes.groupBy("host", "slots", "hashes").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES)
-    constant = keyed_join(counted, references.drop("reference"), "host", ["slots", "hashes"]).where(F.col("n") >= SHARE * F.col("n_titles"))
+    constant = keyed_join(counted, references.drop("reference", "site"), "host", ["slots", "hashes"]).where(F.col("n") >= SHARE * F.col("n_titles"))
     # at most 1 / SHARE times the blocks of a page
     templates = constant.groupBy("host").agg(F.collect_list(F.struct(F.col("slots").alias("slot"), F.col("hashes").alias("hash"))).alias("template"))
-    return references.drop("n_titles").join(templates, "host")
+    return references.drop("n_titles", "site").join(templates, "host")
 
 
 def main_text(html: str | None, reference: str | None = None, template: frozenset = frozenset()) -> str:

@@ -253,6 +253,26 @@ def test_template_is_induced(spark, monkeypatch, most, hot_hosts):
     assert wrapper.extracted(pages.limit(0)).collect() == []
 
 
+HOSTS = {
+    "masthead": lambda k: f"<header><h1>Site</h1></header><div>Our site since 1999</div><div><h2>Title {k}</h2><p>Story {k} text.</p></div><div>Call us now</div>",
+    "unnamed": lambda k: f"<div><h1>Site</h1></div><div>Our site since 1999</div><div><h2>Title {k}</h2><p>Story {k} text.</p></div><div>Call us now</div>",
+    "no-h1": lambda k: f"<nav><p>Menu</p></nav><div>Our site since 1999</div><div><h2>Title {k}</h2><p>Story {k} text.</p></div><div>Call us now</div>",
+    "own": lambda k: f"<div>Our site since 1999</div><div><h1>Title {k}</h1><p>Story {k} text.</p></div><div>Call us now</div>",
+}
+
+
+def test_template_without_titles(spark):
+    """Hosts of one h1, of none, and of two or three pages; copies still vote once, also where a counter tells them apart."""
+    rows = [(f"{name}{n}/{k}", f"http://{name}{n}.example/{k}", page(k)) for name, page in HOSTS.items() for n in (2, 3, 9) for k in range(n)]
+    same = "<article><h1>One</h1><p>The only story.</p><p>Read {k} times</p></article>"
+    rows += [(f"near/{k}", f"http://near.example/{k}", same.format(k=k)) for k in range(9)] + [(f"copies/{k}", "http://copies.example/", HOSTS["no-h1"](1)) for k in range(9)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = {r.page_id: r.text for r in wrapper.extracted(pages).collect()}
+    want = {f"{name}{n}/{k}": f"Title {k}\nStory {k} text." for name in HOSTS for n in (2, 3, 9) for k in range(n)}
+    assert {k: got[k] for k in want} == want
+    assert got["near/3"] == "One\nThe only story.\nRead 3 times" and "Story 1 text." in got["copies/4"] and len(got) == len(rows)
+
+
 def test_tree_matching():
     a = ["html", [["div", [["p", []]]], ["ul", [["li", []]]], ["div", []]]]
     b = ["html", [["nav", []], ["div", [["p", []], ["h1", []]]], ["div", []]]]
