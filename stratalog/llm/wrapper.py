@@ -32,28 +32,53 @@ from stratalog.llm.common import keyed_join, read_table, stored
 
 LEAST_PAGES, SHARE = 2, 0.8
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*(?:>|\Z)|<[a-zA-Z/][^>]*\Z|[^<]++|<", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Elements by their part in a page.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "xmp", "noframes"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 BLOCK = {"html", "body", "div", "p", "article", "section", "main", "nav", "header", "footer", "aside", "form", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th",
          "caption", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "figcaption", "address", "fieldset", "details", "summary", "dialog", "menu", "hr", "center", "head", "legend"}
 LEFT_OUT = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "button", "select", "option", "label", "input", "fieldset"}
-#: Words in class, id or role that name parts other than the article.
+#: Class, id and role values, or the head words of compound ones, that name parts other than the article.
 NAMED = set("nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead banner footer sidebar side aside complementary widget ad ads advert adverts advertisement sponsor sponsored promo "
             "notice cookie cookies consent alert popup modal newsletter subscribe signup login form search comment comments reply replies disqus share sharing social related recommended pagination pager contentinfo toolbar".split())
+COMMENTS = {"comment", "comments", "reply", "replies"}
+#: Words that leave the one before as the head of a compound, words that deny it, and elements whose id in an article is but the target of a link.
+PLACES = set("container wrapper wrap box area list section bar block inner outer top bottom left right slot unit links link buttons button posts primary secondary".split())
+DENIED = {"no", "not", "non", "has", "have", "with", "without", "hide", "is", "after", "before"}
+TARGETS = {"section", "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "td", "th", "figure", "blockquote", "pre", "table", "span", "a"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "table", "article", "section", "main", "div", "body", "html", "nav", "aside", "footer", "header", "form", "blockquote", "td", "th"}
 
 
 class Node:
-    __slots__ = ("tag", "names", "children", "label")
+    __slots__ = ("tag", "names", "children", "label", "heads", "id_heads", "holds", "holds_main")
 
-    def __init__(self, tag: str, names: frozenset = frozenset()):
+    def __init__(self, tag: str, names: frozenset = frozenset(), heads: frozenset = frozenset(), id_heads: frozenset = frozenset()):
         self.tag, self.names, self.children = tag, names, []
+        self.heads, self.id_heads = heads, id_heads  # of class and role; of id
+        self.holds, self.holds_main = 0, False  # how many articles and mains are inside
         self.label = tag + "".join(f".{n}" for n in sorted(names)) if tag in BLOCK else ""
 
 
+@lru_cache(4096)
+def head(value: str) -> str:
+    """The head word of a class, id or role: its last word that isn't a place or a number; '' if the value denies it (no-sidebar)."""
+    words = [w for w in re.split(r"[_-]+", value) if w]
+    if not words or words[0] in DENIED:
+        return ""
+    while len(words) > 1 and (words[-1] in PLACES or words[-1].isdigit()):
+        words.pop()
+    return words[-1]
+
+
+@lru_cache(4096)
+def attribute_names(attributes: str) -> tuple[frozenset, frozenset, frozenset]:
+    """All words of class, id and role; the head words of class and role; those of id."""
+    values = [(a[1].lower(), v) for a in ATTRIBUTE.finditer(attributes) for v in (a[2] or a[3] or a[4] or "").lower().split()]
+    return frozenset(w for _, v in values for w in re.split(r"[_-]+", v) if w), frozenset(head(v) for k, v in values if k != "id"), frozenset(head(v) for k, v in values if k == "id")
+
+
 def parse(html: str) -> Node:
     """The tree of a page: Nodes and strings (character references still in them)."""
     root = Node("html")
@@ -74,7 +99,7 @@ def parse(html: str) -> Node:
                     pass
             continue
         attributes = m[3] if m[2] else m[6]
-        names = frozenset(w for a in ATTRIBUTE.finditer(attributes) for w in re.split(r"[\s_-]+", (a[2] or a[3] or a[4] or "").lower()) if w) if attributes and "=" in attributes else frozenset()
+        names = attribute_names(attributes) if attributes and "=" in attributes else ()
         if tag in BLOCK:
             # a block ends an open paragraph, and a list item or cell the one before
             for k in range(len(stack) - 1, 0, -1):
@@ -90,7 +115,10 @@ def parse(html: str) -> Node:
                     break
                 if stack[k].tag in SCOPE and stack[k].tag not in CLOSES[tag]:
                     break
-        node = Node(tag, names)
+        node = Node(tag, *names)
+        if tag == "main" or tag == "article" and not node.heads & COMMENTS:
+            for n in stack:
+                n.holds, n.holds_main = n.holds + 1, n.holds_main or tag == "main"
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
@@ -102,11 +130,55 @@ def parse(html: str) -> Node:
     return root
 
 
-def outside(node: Node, in_article: bool) -> bool:
-    return node.tag in LEFT_OUT or node.tag in RAW or node.tag == "header" and not in_article or bool(node.names & NAMED) and node.tag not in ("body", "html", "article", "main")  or node.tag == "article" and bool(node.names & {"comment", "comments", "reply"})
+def named(node: Node, level: int) -> bool:
+    """Whether class, id or role name a part that isn't the article."""
+    if node.tag == "article":
+        return bool(node.heads & COMMENTS)
+    if node.tag in ("body", "html", "main"):
+        return False
+    heads = node.heads if level and node.tag in TARGETS else node.heads | node.id_heads
+    return bool(heads & NAMED) or bool(node.id_heads & COMMENTS) and node.tag == "section"
+
+
+def outside(node: Node, level: int, holders: bool = False) -> bool:
+    """holders: elements around an article are not left out by their names; those around main never are."""
+    return node.tag in LEFT_OUT or node.tag in RAW or node.tag == "header" and level != 2 or not (node.holds_main or holders and node.holds) and named(node, level)
+
+
+def main_blocks(found: list) -> list:
+    """Of the blocks not left out those of the article, else of main, else all."""
+    found = [b for b in found if not b[3]]
+    level = max((b[4] for b in found), default=0)
+    return [b for b in found if b[4] == level]
+
+
+def held(root: Node) -> bool:
+    """Whether an element around an article or main is named as another part."""
+    todo = [root]
+    while todo:
+        for c in todo.pop().children:
+            if not isinstance(c, str) and c.holds:
+                if named(c, 0) or named(c, 1):
+                    return True
+                todo.append(c)
+    return False
 
 
 def blocks(root: Node) -> list[tuple[str, Node, tuple, bool, int]]:
+    """The blocks of a page. An element named as another part that holds articles is read where no article stands outside of it,
+    if it holds the page's only one or more text than else is the main text; otherwise they are teasers or the like."""
+    found = _blocks(root)
+    if root.holds and held(root):
+        own = main_blocks(found)
+        level, size = max((b[4] for b in own), default=0), sum(len(b[0]) for b in own)
+        if level < 2:
+            other = _blocks(root, holders=True)
+            if sum(len(b[0]) for b in main_blocks(other)) > size or level == 0 and root.holds == 1:
+                return other
+    return found
+
+
+def _blocks(root: Node, holders: bool = False) -> list[tuple[str, Node, tuple, bool, int]]:
     """Blocks in page order: text, its block element, the path of labels to it, whether left out, and 2 in an article, 1 in main, else 0."""
     out: list = []
     parts: list[str] = []
@@ -136,7 +208,7 @@ def blocks(root: Node) -> list[tuple[str, Node, tuple, bool, int]]:
             if child.tag in RAW:
                 continue
             own, path, left, level = state
-            left = left or outside(child, level == 2)
+            left = left or outside(child, level, holders)
             level = 2 if child.tag == "article" else max(level, 1) if child.tag == "main" or "main" in child.names and child.tag == "div" else level
             if child.tag in BLOCK:
                 todo.append((node, state, k))
@@ -303,12 +375,11 @@ def induce(pages: DataFrame) -> DataFrame:
 
 def main_text(html: str | None, reference: str | None = None, template: frozenset = frozenset()) -> str:
     root = parse(html or "")
-    found = [b for b in blocks(root) if not b[3]]
+    found = blocks(root)
     if template and found:
         alignment = aligned(json.dumps(skeleton(root), separators=(",", ":")), reference)
         found = [b for b in found if (slot(b[2], alignment), text_hash(b[0])) not in template]
-    level = max((b[4] for b in found), default=0)
-    return "\n".join(b[0] for b in found if b[4] == level)
+    return "\n".join(b[0] for b in main_blocks(found))
 
 
 def extracted(pages: DataFrame) -> DataFrame:

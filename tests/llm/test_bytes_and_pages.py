@@ -253,6 +253,20 @@ def test_template_is_induced(spark, monkeypatch, most, hot_hosts):
     assert wrapper.extracted(pages.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("html,want", [
+    ('<div class="layout no-sidebar"><article><p>Story.</p></article></div><div>Other</div>', "Story."),
+    ('<div class="sidebar"><div id="header"><article><h1>T</h1><p>Story.</p></article></div></div><p>Out</p>', "T\nStory."),
+    ('<div class="search widget"><main><p>Story.</p></main></div><p>Elsewhere there is more</p>', "Story."),
+    ('<article><h2 id="related-work">Related work</h2><p id="side-effects">Effects.</p><section id="search-results"><p>Found.</p></section><h3 id="search">Search</h3></article>', "Related work\nEffects.\nFound.\nSearch"),
+    ('<article class="post comments-open"><p data-id="search">Story.</p></article>', "Story."),
+    ('<article><p>A story of some length.</p></article><section class="related-posts"><article><p>Teaser</p></article></section><section class="comments"><article class="comment"><p>A reader has much to say of this.</p></article></section>', "A story of some length."),
+    ('<article><p>Story.</p><div class="ad-slot"><p>Buy</p></div><div class="share-buttons">Share</div><section id="comments"><p>Reader</p></section><div class="left-sidebar">Side</div><ul class="related-links"><li>x</ul></article>', "Story."),
+])
+def test_names_of_parts(html, want):
+    """Containers of the article, ids that only links use and words inside a name do not leave text out; names of parts still do."""
+    assert wrapper.main_text(html) == want
+
+
 HOSTS = {
     "masthead": lambda k: f"<header><h1>Site</h1></header><div>Our site since 1999</div><div><h2>Title {k}</h2><p>Story {k} text.</p></div><div>Call us now</div>",
     "unnamed": lambda k: f"<div><h1>Site</h1></div><div>Our site since 1999</div><div><h2>Title {k}</h2><p>Story {k} text.</p></div><div>Call us now</div>",
