@@ -42,20 +42,20 @@ WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|
 def encoder(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
     """The byte-level vocabulary of a tokenizer file as a fast encoder, and which ids end a sentence.
 
-    The same ids as the file gives by the tokenizers library (a test holds them against each other); strings of special tokens are
-    ordinary text.  In such a file a byte stands as the character of that code if it prints,
+    The same ids as the file gives by the tokenizers library (a test holds them against each other); the file's added tokens, such as
+    <|endoftext|>, are one id each wherever they stand in a text.  In such a file a byte stands as the character of that code if it prints,
     else as the next character from U+0100 on.
     """
     with open(path, encoding="utf-8") as file:
-        vocabulary = json.load(file)["model"]["vocab"]
+        content = json.load(file)
+    vocabulary, added = content["model"]["vocab"], {t["content"]: t["id"] for t in content.get("added_tokens") or ()}
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     byte_of = {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(sorted({*range(256)} - {*plain}))}
-    ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if all(c in byte_of for c in token)}
-    ranks = {t: i for t, i in ranks.items() if t != b"<|endoftext|>"}
-    ends = np.zeros(max(ranks.values()) + 2, bool)
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if token not in added and all(c in byte_of for c in token)}
+    ends = np.zeros(max(*ranks.values(), *added.values()) + 1, bool)
     for token, i in ranks.items():
         ends[i] = token.rstrip(b"\"')")[-1:] in (b".", b"!", b"?") or b"\n" in token
-    return tiktoken.Encoding("words", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={}), ends
+    return tiktoken.Encoding("words", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens=added), ends
 
 
 def cuts(bounds: np.ndarray, costs: np.ndarray, length: int = LENGTH) -> list[int]:
@@ -152,7 +152,7 @@ def packed(documents: DataFrame, path: str | None = None, length: int = LENGTH,
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids.append(doc_id)
-                stream.append(np.array([*encoding.encode_ordinary(text or ""), END], "<u4"))
+                stream.append(np.array([*encoding.encode(text or "", allowed_special="all"), END], "<u4"))
                 size += len(stream[-1])
                 if size >= stretch:
                     yield flush()

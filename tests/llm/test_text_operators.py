@@ -150,6 +150,35 @@ def test_same_ids_as_tokenizers(text):
     assert fast.encode_ordinary(text) == tokenizer_once().encode(text, add_special_tokens=False).ids
 
 
+SPECIAL = ["<|endoftext|>", "a<|endoftext|>b", " <|endoftext|> <|endoftext|><|endoftext|>\n", "<|endoftext|", "<|ENDOFTEXT|>", "One. <|endoftext|>Two!"]
+
+
+def test_same_ids_with_added_tokens(spark):
+    """The tokenizer file as it is: its added token is one id."""
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {k: [*own.encode(t, add_special_tokens=False).ids, 0] for k, t in enumerate(SPECIAL)}
+    assert want[1] == [64, 50256, 65, 0]
+    rows = packing.packed(cases.documents(spark, list(enumerate(SPECIAL))), with_ids=True).collect()
+    got = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+        got[r.doc_id] += r["ids"]
+    assert got == want and all(r.doc_tokens == len(want[r.doc_id]) for r in rows)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=12), st.just("<|endoftext|>")), max_size=6).map("".join))
+def test_same_ids_as_the_file_gives(text):
+    fast, _ = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    own = tokenizer_as_is()
+    assert fast.encode(text, allowed_special="all") == own.encode(text, add_special_tokens=False).ids
+
+
+def tokenizer_as_is(kept=[]):  # noqa: B006
+    if not kept:
+        kept.append(Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+    return kept[0]
+
+
 def tokenizer_once(kept=[]):  # noqa: B006
     if not kept:
         kept.append(tokenizer())
