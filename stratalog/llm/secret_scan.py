@@ -1,7 +1,8 @@
 """Secret scans: candidate strings, and a random forest that removes false positives.
 
-Candidates are runs of key characters that hold a digit and a letter, known key formats, and private-key
-headers.  For each, features are taken of its length, its character transitions (how well a
+Candidates are runs of key characters that hold a digit and a letter (an unquoted name=value is split at the
+'=', trailing base64 padding stays), what is assigned to a name of a secret from 6 characters on, with or without a digit, and
+whole PEM and PGP private-key blocks, encrypted ones and cut ones too.  For each, features are taken of its length, its character transitions (how well a
 bigram model of words explains it, how often the character class changes), its dictionary coverage,
 the path it stands under (the document's source) and the words around it.  A forest trained on
 labelled findings gives the probability that it is a secret; 0.5 or more makes a finding.
@@ -31,8 +32,12 @@ from pyspark.sql import functions as F
 
 from stratalog.llm.common import read_table, shielded
 
-CANDIDATE = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----)?|(?<![A-Za-z0-9+/_=\-.])(?=[A-Za-z_\-+/=.]*\d)[A-Za-z0-9+/_=\-.]{16,}")
+#: A block: its header, then header lines and base64 to its end; of a cut block as far as header lines and long base64 runs go.
+BLOCK = re.compile(r"-----BEGIN (?P<kind>[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----(?:(?:[\s\\]*+(?:[A-Za-z][A-Za-z0-9-]*+: [^\n]*+|[A-Za-z0-9+/=\\]++))*+[\s\\]*+-----END (?P=kind)-----|(?:[\s\\]*+(?:[A-Za-z][A-Za-z0-9]*-[A-Za-z0-9-]*+: [^\n]*+|(?:Version|Comment|Hash|Charset): [^\n]*+|[A-Za-z0-9+/=]{16,}+))*+)")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-.])(?=[A-Za-z_\-+/.]*\d)[A-Za-z0-9+/_\-.]{16,}+(?:={1,2}(?![A-Za-z0-9+/_\-.=\"'$]))?")
+ASSIGNED = re.compile(r"(?:token|secret|passw(?:or)?d|passphrase|pwd|key|auth|bearer|credentials?|private|access)(?:[_\-][A-Za-z0-9_\-]{1,24})?[\"']?[ \t]{0,4}(?:=>|:=|[=:])[ \t]{0,4}(?:\"(?P<double>[^\"\s]{6,200})\"|'(?P<single>[^'\s]{6,200})'|(?P<bare>(?:[^\s\"'<>&,;(){}\[\]]|&(?![A-Za-z_][\w\-]*=)){6,200}))", re.I)
 LETTER = re.compile(r"[A-Za-z]")
+NAME = re.compile(r"([A-Za-z0-9_.\-]+)[\"']?\s{0,4}(?:=>|:=|[=:])\s{0,4}[\"']?$")
 NEIGHBOURS = 40
 #: Words that stand by secrets, and words that stand by other long strings.
 SECRET_WORDS = ("token", "secret", "password", "passwd", "pwd", "apikey", "api_key", "key", "auth", "bearer", "credential", "private", "access")
@@ -44,7 +49,7 @@ PLACEHOLDER = ("example", "sample", "your", "changeme", "placeholder", "xxxx", "
 WORDS = ("the and for with from this that token secret password key user name file path data test example sample value config class function method index table column order report "
          "version release update build main home work local server client service account access public private default system process message number string error event source target list item "
          "image photo album page post blog article news archive category product price cart shop store login logout register profile settings admin dashboard static assets script style").split()
-FEATURES = ("length", "entropy", "bigram", "changes", "digits", "upper", "hexadecimal", "words", "prefix", "placeholder", "secret_near", "other_near", "assigned", "quoted", "path_code", "path_test", "repeats", "dots", "slashes", "uuid")
+FEATURES = ("length", "entropy", "bigram", "changes", "digits", "upper", "hexadecimal", "words", "prefix", "placeholder", "secret_near", "other_near", "assigned", "quoted", "path_code", "path_test", "repeats", "dots", "slashes", "uuid", "named")
 
 
 @cache
@@ -70,6 +75,7 @@ def features(value: str, before: str, after: str, path: str) -> list[float]:
         if len(w) > 3 and w in low:
             covered += len(w) * low.count(w)
     kinds = [kind(c) for c in value]
+    name = NAME.search(before[-NEIGHBOURS:])
     return [
         min(n, 400), -sum(k / n * math.log2(k / n) for k in counts.values()),
         sum(bigrams()[a + b] for a, b in letters) / max(1, len(letters)), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n,
@@ -79,21 +85,63 @@ def features(value: str, before: str, after: str, path: str) -> list[float]:
         float(bool(re.search(r"[=:]\s*[\"']?$", before[-4:]))), float(before[-1:] in "\"'" and after[:1] in "\"'" and before != "" and after != ""),
         float(bool(re.search(r"\.(py|js|ts|go|rs|java|env|ya?ml|json|ini|conf|sh)$", path))), float(bool(re.search(r"test|example|sample|fixture|doc", path))),
         max(counts.values()) / n, value.count("."), value.count("/"), float(bool(re.fullmatch(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", low))),
+        float(bool(name) and any(x in SECRET_WORDS for x in re.split(r"[_.\-]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "_", name[1]).lower()))),
     ]
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, str]]:
+    """Start, end and value, in order of place; none overlap: blocks go first, then assigned values, then runs."""
+    taken = [m.span() for m in BLOCK.finditer(text)] if "-----BEGIN " in text else []
+    taken = merged(taken, assigned(text))
+    runs = []
     for m in CANDIDATE.finditer(text):
-        value = m[0].rstrip(".-=") if not m[0].startswith("-----") else m[0]
+        value = m[0].rstrip(".-")
         if len(value) >= 16 and LETTER.search(value):
-            yield m.start(), m.start() + len(value), value
+            runs.append((m.start(), m.start() + len(value)))
+    for a, b in merged(taken, runs):
+        yield a, b, text[a:b]
+
+
+def assigned(text: str) -> Iterator[tuple[int, int]]:
+    """Places of the values that are assigned to a name of a secret."""
+    for m in ASSIGNED.finditer(text) if "=" in text or ":" in text else ():
+        a, b = m.span(m.lastgroup)
+        if m.lastgroup == "bare":
+            b = a + len(text[a:b].rstrip(".:!?"))
+        if b - a >= 6 and LETTER.search(text, a, b):
+            # of name=value after a name of a secret (access: token=...) the value
+            inner = re.match(r"[A-Za-z][A-Za-z0-9_]*=(?=[^=])", text[a:b])
+            a += inner.end() if inner and b - a - inner.end() >= 6 else 0
+            yield a, b
+
+
+def merged(first: list[tuple[int, int]], second) -> list[tuple[int, int]]:
+    """The spans of first, and those of second that overlap none of them, in order."""
+    out, k = [], 0
+    for a, b in second:
+        while k < len(first) and first[k][1] <= a:
+            k += 1
+        if k == len(first) or b <= first[k][0]:
+            out.append((a, b))
+    return sorted(first + out) if out else first
 
 
 def generated(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str, str, int]]:
-    """Labelled findings by rule: value, text before, text after, path, label."""
+    """Labelled findings by rule: value, text before, text after, path, label. They are the candidates of n generated texts, as a scan yields them."""
+    out = []
+    for value, before, after, path, label in _generated(n, seed):
+        text, start = before + value + after, len(before)
+        for a, b, own in candidates(text):
+            hit = a < start + len(value) and start < b
+            out.append((own, text[max(0, a - NEIGHBOURS) : a], text[b : b + NEIGHBOURS], path, label if hit else 0))
+    return out
+
+
+def _generated(n: int, seed: int) -> list[tuple[str, str, str, str, int]]:
     rng = random.Random(seed)
     pick, some = rng.choice, lambda alphabet, k: "".join(rng.choice(alphabet) for _ in range(k))
     hexa, alnum = "0123456789abcdef", string.ascii_letters + string.digits
+    syllables = lambda k: "".join(pick("bcdfghklmnprstvw") + pick("aeiou") + pick(["", "", "r", "n", "t", "s"]) for _ in range(k))
     prose = lambda: " ".join(pick(WORDS) for _ in range(rng.randint(0, 5)))
     out = []
     for _ in range(n):
@@ -105,8 +153,20 @@ def generated(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str, str, i
                 lambda: some(hexa, pick([32, 40, 48, 64])), lambda: some(alnum, rng.randint(20, 64)), lambda: pick(["ghp_", "gho_", "npm_"]) + some(alnum, 36), lambda: "AKIA" + some(string.ascii_uppercase + "234567", 16),
                 lambda: pick(["sk_live_", "sk-", "xoxb-", "glpat-"]) + some(alnum, rng.randint(20, 48)), lambda: "eyJ" + some(alnum + "_-", 30) + "." + some(alnum + "_-", 60) + "." + some(alnum + "_-", 43), lambda: some(alnum + "+/", rng.randint(28, 88)) + pick(["", "=", "=="]),
                 lambda: (lambda k: f"-----BEGIN {k}PRIVATE KEY-----\n{some(alnum + '+/', rng.randint(6, 600))}\n-----END {k}PRIVATE KEY-----")(pick(["", "RSA ", "EC ", "OPENSSH "])),
+                lambda: (lambda k, h: f"-----BEGIN {k}-----\n{h}{''.join(some(alnum + '+/', 64) + chr(10) for _ in range(rng.randint(0, 6)))}{some(alnum + '+/', rng.randint(4, 64))}{pick(['', '=', '=='])}\n-----END {k}-----")(
+                    *pick([("RSA PRIVATE KEY", ""), ("PRIVATE KEY", ""), ("RSA PRIVATE KEY", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + some("0123456789ABCDEF", 32) + "\n\n"), ("ENCRYPTED PRIVATE KEY", ""), ("PGP PRIVATE KEY BLOCK", "Version: GnuPG v2\n\n"), ("PGP PRIVATE KEY BLOCK", "\n")])),
+                lambda: some(alnum, rng.randint(7, 15)), lambda: some(alnum + "!@#%^*+?", rng.randint(8, 18)) + pick("!@#%7"), lambda: some(string.ascii_letters, rng.randint(10, 32)), lambda: pick(WORDS) + pick("-_.!@") + pick(WORDS).title() + str(rng.randint(1, 9999)),
+                lambda: syllables(rng.randint(2, 4)) + some(string.ascii_lowercase, rng.randint(1, 2)) + str(rng.randint(1, 9999)) + some(string.ascii_lowercase, rng.randint(0, 2)), lambda: syllables(rng.randint(6, 11)), lambda: "-".join(syllables(rng.randint(2, 3)) for _ in range(rng.randint(3, 4))),
             ])()
-            if not (known := value.startswith(PREFIXES)) or rng.random() < 0.7:
+            form = rng.random()
+            if form < 0.25 and not value.startswith("-----"):
+                name = pick(["API", "DB", "AWS", "APP", "SERVICE", "CLIENT"]) + "_" + pick(["TOKEN", "SECRET", "PASSWORD", "KEY", "ACCESS_KEY", "AUTH_TOKEN", "PRIVATE_KEY"])
+                before = (prose() + " " if rng.random() < 0.3 else "") + pick(["", "export ", "\n", "ENV "]) + (name if rng.random() < 0.7 else pick(["api_key", "client_secret", "password", "auth_token"])) + "="
+                after = pick(["\n", " ", "\nNAME=main\n", ""])
+            elif form < 0.4 and not value.startswith("-----") and value.isalnum():
+                before += pick(["https://", "http://www."]) + pick(WORDS) + ".example.com/" + pick(WORDS) + pick(["?", "?page=2&", "?id=7&"]) + pick(["access_token", "token", "api_key", "key", "auth", "secret"]) + "="
+                after = pick(["", "&page=2", "&v=1"]) + after
+            elif not (known := value.startswith(PREFIXES)) or rng.random() < 0.7:
                 quote = pick(['"', "'", "", '"'])
                 before += pick(SECRET_WORDS) + pick([" = ", "=", ": ", ":", " "] if known else [" = ", "=", ": ", ":"]) + quote
                 after = quote + after
@@ -117,13 +177,22 @@ def generated(n: int = 3000, seed: int = 11) -> list[tuple[str, str, str, str, i
                 lambda: "".join(pick(WORDS).title() for _ in range(4)) + str(rng.randint(1, 9)), lambda: f"20{rng.randint(10, 30)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}T1{rng.randint(0, 9)}:00".replace(":", "-") + "Z",
             ])()
             style = rng.random()
-            if style < 0.45:
+            if rng.random() < 0.2:
+                # what is written after a secret's name without being one
+                value = pick([lambda: pick(WORDS), lambda: pick(["required", "optional", "missing", "invalid", "string", "undefined", "expired", "public", "enabled", "disabled", "primary", "foreign", "granted", "denied"]), lambda: f"{pick(WORDS)}.{pick(WORDS)}", lambda: f"{pick(WORDS)}_{pick(WORDS)}", lambda: "${" + pick(WORDS).upper() + "}", lambda: "*" * 8 + "x", lambda: f"os.environ.{pick(WORDS)}", lambda: pick(["your", "example", "changeme"]) + "_" + pick(WORDS)])()
+                before += pick(SECRET_WORDS) + pick([" = ", "=", ": ", ":", '="'])
+                after = ('"' if before.endswith('"') else "") + after
+            elif style < 0.2 and re.fullmatch("[0-9a-f-]+", value):
+                before += pick(["https://", "http://www."]) + pick(WORDS) + ".example.com/" + pick(WORDS) + pick(["?id=", "?commit=", "?v=", "?hash=", "?page=2&sha="])
+            elif style < 0.45:
                 before += pick(OTHER_WORDS) + pick([" = ", ": ", " ", "=", ":", "/"])
             elif style < 0.6:
                 before += pick(["name", "path", "file", "url", "slug"]) + pick([' = "', ': "'])
                 after = '"' + after
             elif any(x in value for x in PLACEHOLDER):
                 before += pick(SECRET_WORDS) + pick([" = ", ": "])
+        if value.startswith("-----") and rng.random() < 0.4:
+            before, after = "", pick(["", "\n"])
         out.append((value, before, after, path, int(label)))
     return out
 
