@@ -105,7 +105,7 @@ def postfix(text: str) -> list[str] | None:
 def alternatives(text: str, most: int = 4096) -> list[frozenset[str]] | None:
     """Ways to meet an expression, each the licences (an exception stays with its own) that hold together.
 
-    None if it doesn't parse, or has more than most ways.
+    None if it doesn't parse. An expression of more than most ways is one way, itself: it is not written out.
     """
     order = postfix(text)
     if order is None:
@@ -119,14 +119,44 @@ def alternatives(text: str, most: int = 4096) -> list[frozenset[str]] | None:
         if token == "or":
             stack.append(left | right)
         elif token == "and":
-            if len(left) * len(right) > most:
-                return None
-            stack.append({a | b for a in left for b in right})
+            ways: set[frozenset[str]] = set()
+            for a in left:
+                ways |= {a | b for b in right}  # equal sets count once
+                if len(ways) > most:
+                    return [frozenset([infix(order)])]
+            stack.append(ways)
         else:
             stack.append({frozenset(f"{x} with {'+'.join(sorted(b))}" for x in a) for a in left for b in right})
+        if len(stack[-1]) > most:
+            return [frozenset([infix(order)])]
     return sorted(stack.pop(), key=sorted)
 
 
+def infix(order: list[str]) -> str:
+    """A postfix expression as it is written, with brackets where they are needed."""
+    stack: list[tuple[str, int]] = []
+    for token in order:
+        if token not in PRECEDENCE:
+            stack.append((token, 9))
+            continue
+        (right, r), (left, k) = stack.pop(), stack.pop()
+        own = PRECEDENCE[token]
+        stack.append((f"{left if k >= own else f'({left})'} {token} {right if r >= own else f'({right})'}", own))
+    return stack.pop()[0]
+
+
+def licences_of(order: list[str]) -> set[str]:
+    """The licences of a postfix expression: its operands but for exceptions, the right sides of a 'with'."""
+    stack: list[set[str]] = []
+    for token in order:
+        if token not in PRECEDENCE:
+            stack.append({token})
+        else:
+            right, left = stack.pop(), stack.pop()
+            stack.append(left if token == "with" else left | right)
+    return stack.pop()
+
+
 @cache
 def automaton() -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
@@ -155,8 +185,8 @@ def scan(text: bytes | None) -> dict:
         for m in EXPRESSION.finditer(raw.lower()):
             expression = m[1].decode("utf-8", "replace")
             found = alternatives(expression)
-            names = {x for way in found for x in way} if found else set(TOKEN.findall(expression)) - {*PRECEDENCE, "(", ")"}
-            labels |= {family(x.split(" with ")[0]) for x in names} if found else {f for x in names if (f := family(x)) in FAMILIES}
+            names = licences_of(postfix(expression)) if found else set(TOKEN.findall(expression)) - {*PRECEDENCE, "(", ")"}
+            labels |= {family(x) for x in names} if found else {f for x in names if (f := family(x)) in FAMILIES}
             ways += [" and ".join(sorted(way)) for way in found or ()]
             evidence += 2
     return {

@@ -101,6 +101,15 @@ def test_shunting_yard():
     assert licenses.alternatives("mit or (apache-2.0 and bsd)") == [frozenset({"apache-2.0", "bsd"}), frozenset({"mit"})]
 
 
+def test_expression_of_many_ways():
+    """13 pairs are 8192 ways: labels are all of the operands, the expression stays as it is; equal sets count once."""
+    text = " and ".join(f"(0bsd-{k} or ms-pl-{k})" for k in range(13))
+    found = licenses.scan(f"SPDX-License-Identifier: {text} and postgresql with some-exception".encode())
+    assert set(found["labels"].split(",")) == {f"{x}-{k}" for x in ("0bsd", "ms-pl") for k in range(13)} | {"postgresql"}
+    assert found["alternatives"] == [text + " and postgresql with some-exception"]
+    assert licenses.alternatives(" and ".join(["(mit or isc)"] * 20)) == [frozenset({"isc"}), frozenset({"isc", "mit"}), frozenset({"mit"})]
+
+
 def tokenizer():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
