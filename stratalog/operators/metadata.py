@@ -71,13 +71,18 @@ def in_some_ensemble(fragments: Column, node_id) -> Column:
     return F.exists(fragments, lambda f: F.array_contains(f["ensemble"], node_id))
 
 
+def most_members(ledgers: DataFrame) -> int:
+    """The size of the widest ensemble, by one aggregate."""
+    return ledgers.agg(F.max(F.array_max(F.transform("fragments", lambda f: F.size(f["ensemble"]))))).first()[0] or 0
+
+
 def spares(ledgers: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """For each ledger the first k writable nodes outside its current ensemble.
 
     At most k plus the ensemble's size of the least writable ids can matter, so that many go to each
     ledger as one array instead of a join with all nodes.
     """
-    most = k + 16
+    most = k + most_members(ledgers)
     pool = nodes.where("status = 'ReadWrite'").orderBy("node_id").limit(most).agg(F.array_sort(F.collect_list("node_id")).alias("pool"))
     x = ledgers.crossJoin(F.broadcast(pool))  # one row
     current = F.element_at("fragments", -1)["ensemble"]

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.operators.metadata import fragment_ranges
+from stratalog.operators.metadata import fragment_ranges, most_members
 
 
-def audit_tasks(ledgers: DataFrame, nodes: DataFrame, failed: DataFrame, most_members: int = 16) -> DataFrame:
+def audit_tasks(ledgers: DataFrame, nodes: DataFrame, failed: DataFrame) -> DataFrame:
     """For each failed node and fragment that holds it, a task with the first healthy node outside the ensemble; none
     without such a node.
 
-    As an ensemble has at most most_members members, one of the first most_members + 1 healthy nodes
+    As an ensemble has at most most_members(ledgers) members, one of the first most_members + 1 healthy nodes
     is outside it, so the candidates are one short array.
     """
-    pool = nodes.where("status = 'ReadWrite'").join(failed, "node_id", "left_anti").orderBy("node_id").limit(most_members + 1).agg(F.array_sort(F.collect_list("node_id")).alias("pool"))
+    most = most_members(ledgers.where("state <> 'Deleted'"))
+    pool = nodes.where("status = 'ReadWrite'").join(failed, "node_id", "left_anti").orderBy("node_id").limit(most + 1).agg(F.array_sort(F.collect_list("node_id")).alias("pool"))
     x = fragment_ranges(ledgers.where("state <> 'Deleted'")).select("ledger_id", "first_entry_id", "ensemble", F.explode(F.array_distinct("ensemble")).alias("node_id"))
     x = x.join(failed, "node_id").crossJoin(F.broadcast(pool))  # one row
     target = F.get(F.filter("pool", lambda n: ~F.array_contains(F.col("ensemble"), n)), F.lit(0))

@@ -273,3 +273,15 @@ def test_streams(spark, tmp_path):
     assert sorted(map(tuple, jobs.run_once(jobs.positions(read()), "complete").collect())) == [(1, 0, 1, 4), (2, 0, 0, 1)]
     lapsed = jobs.run_once(jobs.lapsed_leases(read().withColumnRenamed("ledger_id", "node_id"), "15 seconds", "1 second")).collect()
     assert sorted((r.node_id, r.n_heartbeats, r.expired_at) for r in lapsed) == [(1, 1, datetime(2024, 1, 1, 0, 1, 15)), (1, 3, datetime(2024, 1, 1, 0, 0, 20))]
+
+
+def test_wide_ensembles(spark):
+    """Ensembles of more than 16 members still find the healthy node outside of them."""
+    from stratalog.operators import metadata, recovery
+
+    wide = list(range(1, 31))
+    ledgers = spark.createDataFrame([(1, "Open", [(0, wide, 3, 2)], 9)], "ledger_id long, state string, fragments array<struct<first_entry_id: long, ensemble: array<long>, write_quorum: int, ack_quorum: int>>, last_add_confirmed long")
+    nodes = spark.createDataFrame([(n, "ReadWrite") for n in range(1, 33)], "node_id long, status string")
+    failed = spark.createDataFrame([(5,)], "node_id long")
+    assert [(r.failed_node, r.target_node) for r in recovery.audit_tasks(ledgers, nodes, failed).collect()] == [(5, 31)]
+    assert [r.spares for r in metadata.spares(ledgers, nodes, 2).collect()] == [[31, 32]]
