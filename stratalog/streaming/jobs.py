@@ -1,4 +1,4 @@
-"""Structured Streaming jobs over entries: deduplication, positions, leases and health.
+"""Structured Streaming jobs over entries: deduplication, positions and leases.
 
 Each takes a streaming DataFrame and returns one; run_once() drives a job over what is there into a Parquet table in the shared folder.
 """
