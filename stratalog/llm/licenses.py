@@ -5,6 +5,8 @@ identifier tags at once, overlapping ones too.  What follows a tag on its line i
 expression: operators in falling precedence are with, and, or; parentheses group.  An expression is
 evaluated to its alternatives, each a set of licences that must all be met.
 
+Every step is linear in the text, but for a logarithm, however many hits or operands it has.
+
 Defined results: null and empty texts have no words, no places and no labels, score 0.  An
 expression that doesn't parse gives the labels of the identifiers in it and no alternatives.
 """
@@ -12,8 +14,10 @@ expression that doesn't parse gives the labels of the identifiers in it and no a
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -134,15 +138,28 @@ def alternatives(text: str, most: int = 4096) -> list[frozenset[str]] | None:
 
 def infix(order: list[str]) -> str:
     """A postfix expression as it is written, with brackets where they are needed."""
-    stack: list[tuple[str, int]] = []
+    strength = lambda node: PRECEDENCE[node[1]] if isinstance(node, tuple) else 9
+    stack: list = []
     for token in order:
-        if token not in PRECEDENCE:
-            stack.append((token, 9))
-            continue
-        (right, r), (left, k) = stack.pop(), stack.pop()
-        own = PRECEDENCE[token]
-        stack.append((f"{left if k >= own else f'({left})'} {token} {right if r >= own else f'({right})'}", own))
-    return stack.pop()[0]
+        if token in PRECEDENCE:
+            right, left = stack.pop(), stack.pop()
+            stack.append((left, token, right))
+        else:
+            stack.append((token,))
+    out: list[str] = []
+    todo: list = [stack.pop()]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str):
+            out.append(node)
+        elif len(node) == 1:
+            out.append(node[0])
+        else:
+            left, token, right = node
+            for side, gap in ((right, ""), (left, f" {token} ")):
+                own = 9 if len(side) == 1 else strength(side)
+                todo += [gap, side] if own >= PRECEDENCE[token] else [f"){gap}", side, "("]
+    return "".join(out)
 
 
 def licences_of(order: list[str]) -> set[str]:
@@ -153,7 +170,11 @@ def licences_of(order: list[str]) -> set[str]:
             stack.append({token})
         else:
             right, left = stack.pop(), stack.pop()
-            stack.append(left if token == "with" else left | right)
+            if token != "with":
+                if len(left) < len(right):
+                    left, right = right, left
+                left |= right
+            stack.append(left)
     return stack.pop()
 
 
@@ -172,13 +193,15 @@ def scan(text: bytes | None) -> dict:
     words = raw.translate(ALNUM).split()
     line = (b" " + b" ".join(words) + b" ").decode("latin-1")
     starts, labels, base, evidence, ways = [], set(), set(), 0, []
+    gaps: list[int] = []  # the place before each word
     for end, (phrase, size) in automaton().iter(line):
         if phrase == TAG:
             continue
         evidence += 1
         if phrase in BASE:
             base.add(BASE[phrase])
-            starts.append(line.count(" ", 0, end + 1 - size + 1) - 1)
+            gaps = gaps or [0, *accumulate(len(w) + 1 for w in words)]
+            starts.append(bisect_left(gaps, end + 1 - size))
         else:
             labels.add(NOTICES[phrase])
     if f" {TAG} " in line:

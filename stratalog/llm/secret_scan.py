@@ -246,10 +246,15 @@ class Forest:
 
 
 def trained(labelled: DataFrame | None = None, max_rows: int = 20_000) -> Forest:
-    """A forest from labelled findings (value, before, after, path, label; at most max_rows by hash), or from generated ones."""
+    """A forest from labelled findings (value, before, after, path, label; at most max_rows by hash), or from generated ones.
+
+    A table without a usable row is as none: the generated findings are taken.  With one label alone every value gets it.
+    """
     if labelled is None:
         return _generated_forest()
     rows = labelled.where("value is not null and label in (0, 1)").orderBy(F.xxhash64("value", "before", "after", "path")).limit(max_rows).collect()
+    if not rows:
+        return _generated_forest()
     return _fit([(r["value"], r["before"] or "", r["after"] or "", r["path"] or "", int(r["label"])) for r in rows])
 
 

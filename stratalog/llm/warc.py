@@ -89,51 +89,79 @@ def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) ->
 
 
 HEADER = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)")
+LENGTH = re.compile("[0-9]{1,18}")
+GZIP = b"\x1f\x8b\x08"
 
 
 def inflated(data: bytes) -> bytes:
-    """A gzip file's members, one after another; plain bytes as they are."""
-    if data[:2] != b"\x1f\x8b":
+    """A gzip file's members, one after another; plain bytes as they are.
+
+    A member that is cut or damaged is read as far as it goes, and then the next one; bytes between members are no content.
+    """
+    if data[:2] != GZIP[:2]:
         return data
-    out = []
-    while data:
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(data))
-        data = d.unused_data
+    out, at = [], 0
+    while at >= 0:
+        d, view = zlib.decompressobj(31), memoryview(data)
+        try:
+            for k in range(at, len(data), 1 << 16):
+                out.append(d.decompress(view[k : k + (1 << 16)]))
+                if d.eof:
+                    break
+        except zlib.error:
+            at = data.find(GZIP, at + 1)
+            continue
+        if not d.eof:
+            break
+        at = data.find(GZIP, min(len(data), k + (1 << 16)) - len(d.unused_data))
     return b"".join(out)
 
 
 def parsed(data: bytes) -> Iterator[dict]:
-    """Records of one archive; a cut record ends it."""
-    at = 0
+    """Records of one archive.
+
+    A header without a length, or with one that is no number, begins no record: reading goes on at the next WARC/.  A record that is cut
+    ends the archive.  Each record has skipped, the bytes before it that belong to none; those after the last are a row of type skipped.
+    """
+    at, done = 0, 0
+    lost = lambda a, b: len(data[a:b].strip(b"\r\n"))
     while True:
         at = data.find(b"WARC/", at)
         end = data.find(b"\r\n\r\n", at)
         if at < 0 or end < 0:
-            return
-        fields = [(m[1].strip().lower().decode(), m[2].strip().decode("utf-8", "replace")) for m in HEADER.finditer(data, data.find(b"\r\n", at), end)]
+            break
+        begin = data.find(b"\r\n", at)
+        fields = [(m[1].strip().lower().decode("utf-8", "replace"), m[2].strip().decode("utf-8", "replace")) for m in HEADER.finditer(data, begin, end)]
         one = dict(fields)
-        size = int(one.get("content-length") or 0)
+        if not LENGTH.fullmatch(one.get("content-length", "")):
+            at += 5
+            continue
+        size = int(one["content-length"])
         block = data[end + 4 : end + 4 + size]
         if len(block) < size:
-            return
+            break
         payload = block
         if one.get("content-type", "").startswith("application/http"):
             payload = block.partition(b"\r\n\r\n")[2]
         yield {
             "record_id": one.get("warc-record-id"), "type": one.get("warc-type"), "date": one.get("warc-date"), "uri": one.get("warc-target-uri"),
             "concurrent_to": [v for k, v in fields if k == "warc-concurrent-to"], "refers_to": one.get("warc-refers-to"), "declared_digest": one.get("warc-payload-digest"),
-            "block": block, "payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest(),
+            "block": block, "payload_bytes": len(payload), "payload_digest": hashlib.sha256(payload).hexdigest(), "skipped": lost(done, at),
         }
-        at = end + 4 + size
+        at = done = end + 4 + size
+    if rest := lost(done, len(data)):
+        yield {"record_id": None, "type": "skipped", "concurrent_to": [], "skipped": rest}
 
 
-RECORD = "record_id string, type string, date string, uri string, concurrent_to array<string>, refers_to string, declared_digest string, block binary, payload_bytes long, payload_digest string"
-ARROW = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("date", pa.string()), ("uri", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("refers_to", pa.string()), ("declared_digest", pa.string()), ("block", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
+RECORD = "record_id string, type string, date string, uri string, concurrent_to array<string>, refers_to string, declared_digest string, block binary, payload_bytes long, payload_digest string, skipped long"
+ARROW = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("date", pa.string()), ("uri", pa.string()), ("concurrent_to", pa.list_(pa.string())), ("refers_to", pa.string()), ("declared_digest", pa.string()), ("block", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("skipped", pa.int64())])
 
 
 def read_archives(spark: SparkSession, path: str, blocks: tuple[str, ...] = ("request", "response", "revisit", "metadata", "resource")) -> DataFrame:
-    """Records of all archives under path; digests are taken from the payloads as read.  Blocks of other types than asked for are null."""
+    """Records of all archives under path; digests are taken from the payloads as read.  Blocks of other types than asked for are null.
+
+    Unreadable bytes are told by skipped (see parsed); rows of type skipped are no records, and assemble() leaves them out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +171,7 @@ def read_archives(spark: SparkSession, path: str, blocks: tuple[str, ...] = ("re
                     if r["type"] not in blocks:
                         r["block"] = None
                     rows.append(r)
-                    size += len(r["block"] or b"") + 500
+                    size += len(r.get("block") or b"") + 500
                     if size > 4 << 20:
                         yield pa.RecordBatch.from_pylist(rows, ARROW)
                         rows, size = [], 0
@@ -190,9 +218,12 @@ def captured(spark: SparkSession, pages: DataFrame, path: str) -> DataFrame:
     nested = assemble(stored(read_archives(spark, path, ("request", "metadata")), "records"))
     page = F.nullif(F.regexp_extract(F.col("metadata")[0]["block"].cast("string"), "page-id: (-?\\d+)", 1), F.lit("")).cast("long")
     rows = nested.select("capture_id", "uri", "record_type", "n_equal", page.alias("page_id"), "response.payload_bytes", "response.payload_digest", F.col("response.refers_to").alias("stored"))
+    rows = stored(rows, "captures")  # no payloads
     target = rows.where("record_type = 'response'").select(F.col("capture_id").alias("stored"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("b"), F.col("payload_digest").alias("d"))
     whole = rows.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"), "uri", "n_equal")
-    revisits = rows.where("record_type = 'revisit'").join(target, "stored").select("page_id", F.col("b").alias("payload_bytes"), F.col("d").alias("payload_digest"), "record_type", "refers_to", "uri", "n_equal")
+    again = rows.where("record_type = 'revisit'").drop("payload_bytes", "payload_digest")
+    target = stored(target.join(again.groupBy("stored").agg(F.count("*").alias("n_rows")), "stored"), "revisited")
+    revisits = keyed_join(again, target, "stored", ["capture_id"]).select("page_id", F.col("b").alias("payload_bytes"), F.col("d").alias("payload_digest"), "record_type", "refers_to", "uri", "n_equal")
     return whole.unionByName(revisits).withColumn("n_equal", F.explode(F.sequence(F.lit(1), F.col("n_equal").cast("int")))).drop("n_equal")
 
 

@@ -194,8 +194,11 @@ def test_archives_real(spark, sf):
 
 
 def test_assembly_over_two_hops(spark):
-    blank = lambda i, kind, to=(), **x: {"record_id": i, "type": kind, "date": None, "uri": None, "concurrent_to": list(to), "refers_to": None, "declared_digest": None, "block": i.encode(), "payload_bytes": 1, "payload_digest": "d"} | x
-    rows = [blank("r1", "response"), blank("q1", "request", ["r1"]), blank("m1", "metadata", ["q1"]), blank("m2", "metadata", ["r1", "q1"]), blank("r2", "response", ["q2"]), blank("q2", "request"), blank("lost", "metadata", ["nowhere"]), blank("r3", "revisit")]
+    blank = lambda i, kind, to=(), **x: {
+        "record_id": i, "type": kind, "date": None, "uri": None, "concurrent_to": list(to), "refers_to": None, "declared_digest": None,
+        "block": (i or "").encode(), "payload_bytes": 1, "payload_digest": "d", "skipped": 0,
+    } | x
+    rows = [blank("r1", "response"), blank("q1", "request", ["r1"]), blank("m1", "metadata", ["q1"]), blank("m2", "metadata", ["r1", "q1"]), blank("r2", "response", ["q2"]), blank("q2", "request"), blank("lost", "metadata", ["nowhere"]), blank("r3", "revisit"), blank(None, "skipped")]
     got = {r.capture_id: r for r in warc.assemble(spark.createDataFrame(rows, warc.RECORD)).collect()}
     assert set(got) == {"r1", "r2", "r3"}
     assert got["r1"].request.record_id == "q1" and [m.record_id for m in got["r1"].metadata] == ["m1", "m2"]
@@ -206,7 +209,30 @@ def test_members_and_cuts():
     one = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <a>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     data = warc.inflated(gzip.compress(one) + gzip.compress(one))
     assert [r["block"] for r in warc.parsed(data)] == [b"abc", b"abc"]
-    assert list(warc.parsed(one[:-6])) == [] and list(warc.parsed(b"")) == []
+    cut = one[:-6]
+    assert [(r["type"], r["skipped"]) for r in warc.parsed(cut)] == [("skipped", len(cut))] and list(warc.parsed(b"")) == []
+
+
+GOOD = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <a>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+
+
+@pytest.mark.parametrize("bad", [GOOD.replace(b": 3", b": x"), GOOD.replace(b": 3", b": -3"), GOOD.replace(b"Content-Length: 3\r\n", b""), b"\0" * 40, b"no record at all"])
+def test_unreadable_records(bad):
+    """What is no record is skipped and counted; the records around it are read."""
+    rows = list(warc.parsed(GOOD + bad + GOOD))
+    assert [(r["block"], r["skipped"]) for r in rows] == [(b"abc", 0), (b"abc", len(bad.strip(b"\r\n")))]
+    assert [r["skipped"] for r in warc.parsed(GOOD + bad)] == [0, len(bad.strip(b"\r\n"))]
+
+
+def test_odd_headers_and_members():
+    rows = list(warc.parsed(GOOD.replace(b"WARC-Type", b"X-\xff\xfe: 1\r\nWARC-Type")))
+    assert [r["block"] for r in rows] == [b"abc"]
+    member = gzip.compress(GOOD)
+    broken = bytearray(gzip.compress(GOOD + bytes(range(256)) * 900))
+    broken[len(broken) // 2 : len(broken) // 2 + 9] = b"\xff" * 9
+    for data, n in ((member + bytes(512) + member, 2), (member + bytes(512), 1), (member + b"junk" + member, 2), (member + member[:20], 1), (bytes(broken) + member, 1), (member[:15] + b"\x00", 0)):
+        found = [r for r in warc.parsed(warc.inflated(data)) if r["type"] != "skipped"]
+        assert len(found) >= n and all(r["block"] == b"abc" for r in found)
 
 
 # ---- pages

@@ -123,6 +123,9 @@ def test_labelled_findings(spark):
     rows = spark.createDataFrame(secret_scan.generated(400), "value string, before string, after string, path string, label int")
     forest = secret_scan.trained(rows.unionByName(rows.limit(1).selectExpr("null value", "before", "after", "path", "label")))
     assert forest.score(secret_scan.features("9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", 'token = "', '"', "")) > 0.5
+    assert secret_scan.trained(rows.limit(0)) is secret_scan.trained()  # an empty table is as none
+    one = secret_scan.trained(rows.where("label = 1").limit(5))
+    assert one.score(secret_scan.features("x" * 20, "", "", "")) == 1
 
 
 @pytest.mark.parametrize("name", ["redact", "keep_clean", "keep_one", "decontaminate"])
