@@ -2,7 +2,8 @@
 
 Alternates the large-star and small-star steps, which keep connectivity and end in stars
 around each component's least node.  Each round is written to the shared folder, so a lost executor costs
-at most a round.  Nothing but two sums a round reaches the driver.
+at most a round; the round before is then removed.  Nothing but two sums a round reaches the driver.  The links of a node
+with very many go to several tasks.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import stored
+from stratalog.llm.common import dropped, salted_join, stored
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -26,11 +27,16 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         before = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        floor = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(floor, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x")).select("x.*")
-        edges = stored(small.where("a <> b").distinct(), "links")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n_rows"))
+        near = salted_join(both.where("b > a"), least.drop("n_rows"), "a", ["b"], rows=now[0], counts=least)
+        large = stored(near.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "links")
+        floor = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n_rows"))
+        down = salted_join(large, floor.drop("n_rows"), "a", ["b"], rows=now[0], counts=floor)
+        ends = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
+        small = down.select(F.explode(ends).alias("x")).select("x.*")
+        after = stored(small.where("a <> b").distinct(), "links")
+        dropped(edges, large)
+        edges = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

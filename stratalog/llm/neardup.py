@@ -10,11 +10,17 @@
 3. Of buckets with the same members one is kept.  In each bucket all members are compared with
    the least; the links that hold are joined into components.  Before full shingle sets are compared, an odd sketch (parities of shingles in 2048
    cells) rules out pairs that differ in too many shingles; it never rules out a pair by less than that.
-4. Buckets that still hold several components are searched further: members are dealt to
-   blocks, and each pair of blocks is one task.  First a least spanning forest by signature
-   distance is compared, which joins what hangs together; then every pair left of different components within the
-   signature distance, each pair in one bucket alone.  So a bucket of any size is neither cut nor held by one
-   task, no link between components is lost, and copies are never expanded into all pairs.
+4. Buckets that still hold several components are searched further.  First members are dealt to blocks, and
+   in each a least spanning forest by signature distance is compared, which joins what hangs together.  Then every pair left of
+   different components within the signature distance is, each pair in one bucket alone: the members of the bucket's largest component
+   against the others, and these against each other, a pair of blocks at a time (all at once in a bucket of up to a block).  Where the others are many, the bucket is first
+   split by a second chunk: beside the shared one 15 are left for 31 errors, so one of them has at most two, and members go to a
+   sub-bucket for each two values of each chunk.  A few of these, fixed ones, tell beforehand whether all would cost less than the pairs of blocks.
+   So a bucket of any size is neither cut nor held by one task, no link between components is lost, and copies are never
+   expanded into all pairs.  Joins by pivot, class or key spread a hot key's rows over many tasks.
+
+Of a bucket of M members of its largest component and m others, M ceil(m / BLOCK) + m ceil(M / BLOCK) + m ceil(m / BLOCK) rows are
+dealt; of one that is split, 90 m small ones and those of its sub-buckets.  Long texts are compared by their hashed shingles, whole.
 """
 
 from __future__ import annotations
@@ -27,17 +33,21 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm.common import read_table, stored
+from stratalog.llm.common import dropped, read_table, salted_join, stored
 from stratalog.llm.components import components
 from stratalog.llm.textvec import SPACES, U64, Words, chunks, fingerprint, whole
 
-VALUES, CHUNK, MOST_APART, BLOCK = 64, 4, 31, 1024
+VALUES, CHUNK, MOST_APART, BLOCK = 64, 4, 31, 768
 SIMILARITY = 80  # per cent
 BROADCAST_ROWS = 1 << 20
+PLAIN = "uncompressed"
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(1, 1 << 63, VALUES, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 ODD_BITS = 2048
 MASKS = [[j for j in range(CHUNK) if j != out] for out in range(CHUNK)]
+#: A second chunk: how far it is from the first, and which two of its values are equal; the few that tell the cost beforehand.
+SECOND = [(step, x, y) for step in range(1, VALUES // CHUNK) for x in range(CHUNK) for y in range(x + 1, CHUNK)]
+PROBES = SECOND[:: len(SECOND) // 4]
 
 
 def odd_sketches(sets: list[np.ndarray], sizes: np.ndarray) -> list[bytes]:
@@ -128,7 +138,9 @@ def plausible(pairs: DataFrame, signed: DataFrame) -> DataFrame:
             ok = may_link(n_a, _odd(batch.column("odd_a")), n_b, _odd(batch.column("odd_b")))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "n_a", "n_b", "odd_a", "odd_b").mapInArrow(run, "a long, b long")
+    rows = pairs.count()
+    sides = salted_join(salted_join(pairs, side("b"), "b", ["a"], rows=rows), side("a"), "a", ["b"], rows=rows, counts=pairs.groupBy("a").agg(F.count("*").alias("n_rows")))
+    return sides.select("a", "b", "n_a", "n_b", "odd_a", "odd_b").mapInArrow(run, "a long, b long")
 
 
 def compared(pairs: DataFrame, documents: DataFrame, width: int) -> DataFrame:
@@ -137,7 +149,9 @@ def compared(pairs: DataFrame, documents: DataFrame, width: int) -> DataFrame:
     few = ids.count() <= BROADCAST_ROWS  # 8 bytes each; beyond, both sides are exchanged
     found = documents.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text")).join(F.broadcast(ids) if few else ids, "node", "left_semi")
     texts = stored(found.where(F.length("text") > 0).dropDuplicates(["node", "text"]), "texts")
-    sides = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    rows = pairs.count()
+    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
+    sides = salted_join(salted_join(pairs, side("b"), "b", ["a"], rows=rows), side("a"), "a", ["b"], rows=rows, counts=pairs.groupBy("a").agg(F.count("*").alias("n_rows")))
 
     def run(batches):
         for batch in batches:
@@ -207,14 +221,101 @@ def near_pairs(group: pa.Table) -> pa.Table:
     return _pairs(a, b)
 
 
-def dealt(members: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
-    """Members of the buckets that hold several components, for each pair of blocks of their bucket."""
+def blocks(n):
+    return F.ceil(n / F.lit(BLOCK)).cast("int")
+
+
+def block_of(n):
+    return F.pmod(F.xxhash64("node", F.lit(1)), blocks(n)).cast("int")
+
+
+def opened(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, node, label), and of the keys with several components: key, most (the largest component), n_most, n_others."""
     labelled = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
-    open_keys = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count("*").alias("n")).where("l <> m")
-    rest = labelled.join(open_keys.select("key", "n"), "key").join(signed, "node")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    out = rest.withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return out.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.signum(F.col("own") - F.col("other")).cast("int").alias("side"), "node", "label", "n_shingles", "sig", "odd")
+    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    of_key = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
+    return labelled, stored(of_key.select("key", F.col("m.label").alias("most"), F.col("m.n").alias("n_most"), (F.col("n") - F.col("m.n")).alias("n_others")), "open")
+
+
+GROUP = ["key", "sub", "i", "j"]
+DEALT = [*GROUP, "side", "node", "label", "n_shingles", "sig", "odd"]
+
+
+def of_open(labelled: DataFrame, open_keys: DataFrame, members: DataFrame, signed: DataFrame) -> DataFrame:
+    counts = open_keys.select("key", (F.col("n_most") + F.col("n_others")).alias("n_rows"))
+    return salted_join(labelled, open_keys, "key", ["node"], rows=members.count(), counts=counts).join(signed, "node")
+
+
+def dealt_for_trees(members: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, each in one block of its bucket."""
+    labelled, open_keys = opened(members, labels)
+    own = block_of(F.col("n_most") + F.col("n_others"))
+    rest = of_open(labelled, open_keys, members, signed)
+    return rest.withColumns({"sub": F.lit(0).cast("long"), "i": own, "j": own, "side": F.lit(0)}).select(*DEALT)
+
+
+def dealt_for_pairs(members: DataFrame, labels: DataFrame, signed: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, for each pair of blocks that they are to be compared in."""
+    labelled, open_keys = opened(members, labels)
+    rest = of_open(labelled, open_keys, members, signed).withColumn("is_most", F.col("label") == F.col("most")).withColumn("sub", F.lit(0).cast("long"))
+    narrow = F.col("n_most") + F.col("n_others") <= BLOCK
+    small, rest = rest.where(narrow).withColumns({x: F.lit(0) for x in ("i", "j", "side")}), rest.where(~narrow)
+    others = rest.where("not is_most")
+    split = None
+    if not open_keys.where(F.col("n_others") > BLOCK).isEmpty():
+        split = stored(cheaper_split(others.where(F.col("n_others") > BLOCK), open_keys), "split")
+    n_most, n_others = F.col("n_most"), F.col("n_others")
+    span = lambda n: F.sequence(F.lit(0), blocks(n) - 1)
+    # blocks of the largest component come first, those of the others behind them
+    most = rest.where("is_most").withColumns({"i": block_of(n_most), "j": F.explode(span(n_others)), "side": F.lit(-1)}).withColumn("j", F.col("j") + blocks(n_most))
+    against = others.withColumns({"j": block_of(n_others) + blocks(n_most), "i": F.explode(span(n_most)), "side": F.lit(1)})
+    whole = others if split is None else others.join(F.broadcast(split) if split.count() <= BROADCAST_ROWS else split, "key", "left_anti")
+    out = small.select(*DEALT).unionByName(most.select(*DEALT)).unionByName(against.select(*DEALT)).unionByName(paired(whole, n_others, blocks(n_most)))
+    if split is None:
+        return out
+    rows = others.join(split, "key", "left_semi")
+    subs = sub_buckets(rows, SECOND)
+    h = F.xxhash64("node")
+    found = subs.groupBy("key", "sub").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h % 1_000_003).alias("y"), F.min("label").alias("l"), F.max("label").alias("m"))
+    found = found.where("l <> m").groupBy("key", "n", "x", "y").agg(F.min("sub").alias("sub")).select("key", "sub", "n")
+    inside = subs.join(found, ["key", "sub"]).drop("label").join(rows.drop("sub"), ["key", "node"])
+    return out.unionByName(paired(inside, F.col("n"), F.lit(0)))
+
+
+def paired(rows: DataFrame, n, first) -> DataFrame:
+    """rows for each pair of the blocks of their bucket, which are numbered from first on."""
+    out = rows.withColumn("own", block_of(n)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks(n) - 1)))
+    at = {"i": F.least("own", "other") + first, "j": F.greatest("own", "other") + first, "side": F.signum(F.col("own") - F.col("other")).cast("int")}
+    return out.withColumns(at).select(*DEALT)
+
+
+def sub_buckets(rows: DataFrame, combinations: list[tuple[int, int, int]]) -> DataFrame:
+    """(key, sub, node, label): for each combination two equal values of another chunk than the key's."""
+
+    def run(batches):
+        for batch in batches:
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(-1, VALUES // CHUNK, CHUNK).astype(np.int64)
+            chunk = batch.column("key").to_numpy() >> 50
+            out = np.empty((len(sig), len(combinations)), np.int64)
+            for k, (step, x, y) in enumerate(combinations):
+                other = (chunk + step) % (VALUES // CHUNK)
+                two = sig[np.arange(len(sig)), other]
+                out[:, k] = (other << 4 | x << 2 | y) << 32 | two[:, x] << 16 | two[:, y]
+            offsets = np.arange(0, out.size + 1, len(combinations), dtype=np.int32)
+            subs = pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), subs, batch.column("node"), batch.column("label")], ["key", "subs", "node", "label"])
+
+    out = rows.select("key", "sig", "node", "label").mapInArrow(run, "key long, subs array<long>, node long, label long")
+    return out.select("key", F.explode("subs").alias("sub"), "node", "label")
+
+
+def cheaper_split(others: DataFrame, open_keys: DataFrame) -> DataFrame:
+    """The keys that are cheaper searched by sub-buckets than as they are, by the sizes of a few sub-buckets."""
+    sizes = sub_buckets(others, PROBES).groupBy("key", "sub").agg(F.count("*").alias("n")).where("n > 1")
+    cost = sizes.groupBy("key").agg((F.sum(F.col("n") * blocks(F.col("n"))) * (len(SECOND) / len(PROBES))).alias("cost"))
+    direct = F.col("n_others") * blocks(F.col("n_others"))
+    wide = open_keys.where(F.col("n_others") > BLOCK)
+    return wide.join(cost, "key", "left").where(F.coalesce("cost", F.lit(0.0)) < direct / 2).select("key")
 
 
 def near_duplicates(documents: DataFrame, width: int = 5) -> DataFrame:
@@ -224,36 +325,40 @@ def near_duplicates(documents: DataFrame, width: int = 5) -> DataFrame:
     have a null component and are kept.  Rows that share a doc_id are one document.  Equal rows
     are kept or not together.  Other columns are not read.
     """
-    spark = documents.sparkSession
-    S = stored(signatures(documents, width), "signatures")
+    S = stored(signatures(documents, width), "signatures", PLAIN)
     with_words = S.where("n_shingles > 0 and doc_id is not null")
     classes = with_words.groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("odd").alias("odd"))
-    classes = stored(classes, "classes")
+    classes = stored(classes, "classes", PLAIN)
     # documents that share a doc_id but not a class are linked through it
-    same_id = with_words.select("doc_id", "cls").distinct().join(classes.select("cls", "node"), "cls").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    twice = classes.select("node").union(same_id.select("a")).groupBy("node").count().where("count > 1").select(F.col("node").alias("a"))
-    same_id = same_id.join(twice, "a", "left_semi")
+    twice = with_words.groupBy("doc_id").agg(F.min("cls").alias("l"), F.max("cls").alias("m")).where("l <> m").select("doc_id")
+    same_id = salted_join(with_words.select("doc_id", "cls").distinct(), twice, "doc_id", ["cls"], rows=S.count())
+    same_id = same_id.join(classes.select("cls", "node"), "cls").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
 
     K = keys(classes)
     h = F.xxhash64("node")
     buckets = K.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h % 1_000_003).alias("y")).where("n > 1")
-    distinct = buckets.groupBy("pivot", "n", "x", "y").agg(F.min("key").alias("key")).select("key", "pivot")
-    members = stored(K.join(distinct, "key").distinct(), "members")  # key, node, pivot
+    distinct = stored(buckets.groupBy("pivot", "n", "x", "y").agg(F.min("key").alias("key")).select("key", "pivot", F.col("n").alias("n_rows")), "buckets")
+    n_keys = classes.count() * VALUES // CHUNK * len(MASKS)
+    members = salted_join(K, distinct.drop("n_rows"), "key", ["node"], rows=n_keys, counts=distinct.select("key", "n_rows"))
+    members = stored(members.distinct(), "members", PLAIN)  # key, node, pivot
 
     pairs = stored(members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     signed = classes.groupBy("node").agg(*(F.first(c).alias(c) for c in ("sig", "odd", "n_shingles")))
-    first = stored(compared(stored(plausible(pairs, signed), "plausible"), documents, width).unionByName(same_id), "links")
+    likely = stored(plausible(pairs, signed), "plausible")
+    first = stored(compared(likely, documents, width).unionByName(same_id), "links")
+    dropped(likely, distinct)
     labels = components(first)
 
     known, held = pairs, first
-    for step, search in (("tree", tree_pairs), ("rest", near_pairs)):
-        more = stored(dealt(members, labels, signed).groupBy("key", "i", "j").applyInArrow(search, "a long, b long").distinct().join(known, ["a", "b"], "left_anti"), step)
+    for step, deal, search in (("tree", dealt_for_trees, tree_pairs), ("rest", dealt_for_pairs, near_pairs)):
+        found = deal(members, labels, signed).groupBy(*GROUP).applyInArrow(search, "a long, b long").distinct()
+        more = stored(found.join(known, ["a", "b"], "left_anti"), step)
         held = stored(held.unionByName(compared(more, documents, width)), "links")
         known = known.unionByName(more)
         labels = components(held)
 
     of_class = classes.join(labels, "node", "left").select("cls", F.coalesce("component", "node").alias("component_id"))
-    joined = S.join(of_class, "cls", "left")
+    joined = salted_join(S, of_class, "cls", ["doc_id"], "left", rows=S.count())
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).otherwise(F.col("doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -257,6 +257,69 @@ def test_near_duplicates_across_a_chain(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == groups(texts, 4)
 
 
+def signature_rows(sigs, n=100):
+    odd = bytes(neardup.ODD_BITS // 8)
+    return [(k, n, s, odd) for k, s in enumerate(sigs)]
+
+
+def test_wide_buckets_are_split(spark, monkeypatch):
+    """Members of one bucket that nothing links: dealt rows stay a small multiple of the members; all pairs within the distance are found.
+
+    One bucket holds 20,000 members that share a chunk alone (split), another 900 whose values mostly agree (too much alike to split).
+    """
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    far = rng.integers(0, 1 << 16, (20_000, 64))
+    far[:, 8:12] = 7
+    for k in range(0, 60, 2):  # pairs with 31 errors, all outside of the shared chunk
+        far[k + 1] = far[k]
+        far[k + 1, rng.choice([c for c in range(64) if not 8 <= c < 12], 31, replace=False)] ^= 1 << 5
+    near = np.tile(rng.integers(0, 1 << 16, 64), (900, 1))
+    for row in near:
+        row[rng.choice(np.r_[0:40, 44:64], 24, replace=False)] = rng.integers(0, 1 << 16, 24)
+    sigs = np.concatenate([far, near]).astype("<u2")
+    signed = spark.createDataFrame(signature_rows([s.tobytes() for s in sigs]), "node long, n_shingles long, sig binary, odd binary")
+    both = neardup.keys(signed)
+    key = {10: 2 << 50, 20_100: 10 << 50}  # no value of the chunk wrong, as the first mask has it
+    first = lambda node: both.where(f"node = {node} and (key >> 50) = {key[node] >> 50} and ((key >> 48) & 3) = 0").select("key")
+    members = both.join(first(10).union(first(20_100)), "key").cache()
+    assert members.count() == 20_900
+    labels = spark.createDataFrame([], "node long, component long")
+    monkeypatch.setattr(neardup, "BLOCK", 300)
+    dealt = neardup.dealt_for_pairs(members, labels, signed).cache()
+    n = {r.key >> 50: (r.n, r.subs) for r in dealt.groupBy("key").agg(F.count("*").alias("n"), F.max("sub").alias("subs")).collect()}
+    assert n[2][0] < 5 * 20_000 and n[2][1] > 0 and n[10][1] == 0 and n[10][0] <= 900 * 4 + 3
+    monkeypatch.setattr(neardup, "may_link", lambda a, x, b, y: np.ones(np.broadcast(a, b).shape, bool))
+    rows = neardup.near_pairs
+    got = set()
+    for r in dealt.where("key >> 50 = 2").toPandas().groupby(["key", "sub", "i", "j"]):
+        import pyarrow as pa
+
+        found = rows(pa.Table.from_pandas(r[1][["key", "side", "node", "label", "n_shingles", "sig", "odd"]], preserve_index=False))
+        got |= set(zip(found.column("a").to_pylist(), found.column("b").to_pylist(), strict=True))
+    least_key = lambda a, b: next(c for c in range(16) if (sigs[a, 4 * c : 4 * c + 4] == sigs[b, 4 * c : 4 * c + 4]).sum() >= 3)
+    want = {(k, k + 1) for k in range(0, 60, 2) if least_key(k, k + 1) == 2}
+    assert got == want and len(want) > 3
+
+
+def test_hot_pivots_are_spread(spark, monkeypatch):
+    """A joined key of many rows goes to several tasks; the join is the same."""
+    from pyspark.sql import functions as F
+
+    from stratalog.llm import common
+
+    monkeypatch.setattr(common, "SALT_ROWS", 50)
+    df = spark.range(3000).select(F.when(F.col("id") < 2000, 1).when(F.col("id") < 2900, F.col("id") % 90).cast("long").alias("k"), "id")
+    table = spark.range(60).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    for how in ("inner", "left"):
+        got = common.salted_join(df, table, "k", ["id"], how)
+        assert sorted(map(str, got.select("k", "id", "v").collect())) == sorted(map(str, df.join(table, "k", how).select("k", "id", "v").collect()))
+    anti = common.salted_join(df, table, "k", ["id"], "left_anti")
+    assert sorted(map(str, anti.select("id").collect())) == sorted(map(str, df.join(table, "k", "left_anti").select("id").collect()))
+
+
 def test_pigeonhole_keys(spark):
     """Signatures within the distance always share a key."""
     import random
