@@ -15,8 +15,13 @@ only as deep as 50 bytes, and refined from buckets, never sorted whole:
    is filed by its own hash, so equal strings still meet, over all ranges, and one row a batch and string is the most that does.
 3. Each batch marks what its documents share with smaller ids.
 
-Documents are exchanged once, by batch; the three passes read the same exchange.  A batch, or a range of
-keys, is a bounded share of the input, and an anchor counts once a batch, so a passage in a third of all documents is no hot group.
+Documents are exchanged once, by batch; the three passes read the same exchange.
+
+Key sets and contexts go from the batches to ranges of keys by levels of a fixed fan-out, whatever the size of the input: a batch sends a
+row to each of FAN ranges; with more than FAN batches, every FAN batches' rows of a range meet in a unit, which merges equal keys (and equal
+contexts, with the least id) and sends a row to each of FAN narrower ranges, and so on, until a range has one unit.  Answers go back the same
+way.  So rows grow as the input does, times the number of levels (its logarithm to base FAN: one up to 1 GB, two to 256 GB, four at 100 TB); a unit
+takes at most FAN rows, with as many keys as a batch has; and a passage in every batch is one row in FAN of them.
 
 Defined results: a null text is empty; a text under 50 bytes loses nothing.  Rows with a null id lose nothing and
 take nothing away.  Rows of equal id take nothing from each other.
@@ -39,7 +44,7 @@ from stratalog.llm.textvec import U64, mix
 
 SPAN, GRAM = 50, 20
 STEPS = SPAN - GRAM + 1
-SLICE, BATCH, RANGE, REFINE = 1 << 20, 4 << 20, 16 << 20, 1 << 20
+SLICE, BATCH, FAN, REFINE = 1 << 20, 4 << 20, 256, 1 << 20
 PLACE = U64((1 << 24) - 1)
 #: Places of an anchor from which it is hot, and those in one batch that are counted out.
 HOT, OFTEN = 1 << 15, 8
@@ -98,10 +103,34 @@ class Anchors:
         return np.array([k for k, _, _ in group])[part], valid[first] + shift, valid[last] + shift, mix(h[place[first]])
 
 
+class Levels:
+    """The ranges of keys: a prefix of n digits to base fan at level n, and as many units of batches as are left to merge there.
+
+    A unit of level n is (prefix, unit): unit is the batch's number divided by fan^n.  A batch is a unit of level 0.  The first digit is of a key's
+    upper half; the others are of the code that stands for it in its range, the lower half or, from three levels on, all of it.
+    """
+
+    def __init__(self, batches: int, fan: int):
+        self.fan, self.depth = fan, 1
+        while fan**self.depth < batches:
+            self.depth += 1
+        self.wide = self.depth > 2
+        self.code = "<u8" if self.wide else "<u4"
+
+    def digit(self, code, level: int):
+        """The digit that follows a prefix of level digits (1 or more), of codes in an array or of one number."""
+        base = self.fan ** (level - 1)
+        return (code // type(code)(base) if isinstance(code, int) else code // code.dtype.type(base)) % self.fan
+
+    def parent(self, prefix: int, level: int) -> int:
+        """The prefix less its last digit, of a prefix of level digits."""
+        return prefix % self.fan ** (level - 1)
+
+
 class Batch:
     """The documents of a batch, its distinct keys by range, and the contexts of the shared ones."""
 
-    def __init__(self, table: pa.Table, ranges: int):
+    def __init__(self, table: pa.Table, shape: "Levels"):
         rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         self.ids = [i for i, _ in rows]
         self.texts = [t for _, t in rows]
@@ -115,14 +144,14 @@ class Batch:
         self.many = text[start] != text[ends]
         self.count = ends - start + 1
         distinct = key[start]
-        self.range = ((distinct >> U64(32)) % U64(ranges)).astype(np.int64)
+        self.range = ((distinct >> U64(32)) % U64(shape.fan)).astype(np.int64)
         by_range = np.lexsort((distinct, self.range))
         self.many, self.count, self.range, distinct = self.many[by_range], self.count[by_range], self.range[by_range], distinct[by_range]
-        self.ranges = ranges
-        self.low = (distinct & U64(0xFFFFFFFF)).astype("<u4")
+        self.fan = shape.fan
+        self.codes = (distinct if shape.wide else distinct & U64(0xFFFFFFFF)).astype(shape.code)
         rank = np.empty(len(by_range), np.int64)
         rank[by_range] = np.arange(len(by_range))
-        self.number = np.empty(len(key), np.int64)  # of each anchor: its key's place in low
+        self.number = np.empty(len(key), np.int64)  # of each anchor: its key's place in codes
         self.number[order] = rank[np.cumsum(new) - 1]
         self.edges = np.flatnonzero(np.diff(self.range, prepend=-1))
 
@@ -145,14 +174,14 @@ class Batch:
             for at in range(first, last + 1):
                 string = texts[t][at : at + SPAN]
                 h = xxhash.xxh64_intdigest(string)
-                out[(h >> 32) % self.ranges].setdefault((h - (1 << 63), string), []).append((t, at, at))
+                out[(h >> 32) % self.fan].setdefault((h - (1 << 63), string), []).append((t, at, at))
         return out
 
 
 def _bits(table: pa.Table, batch: Batch) -> tuple[np.ndarray, np.ndarray]:
     """Of the batch's keys which are shared, and which of those hot."""
-    shared, hot = np.zeros(len(batch.low), bool), np.zeros(len(batch.low), bool)
-    of = {r: (x, y) for r, x, y in zip(*(table.column(c).to_pylist() for c in ("range", "bits", "hot")), strict=True) if x is not None}
+    shared, hot = np.zeros(len(batch.codes), bool), np.zeros(len(batch.codes), bool)
+    of = {r: (x, y) for r, x, y in zip(*(table.column(c).to_pylist() for c in ("part", "bits", "hot")), strict=True) if x is not None}
     for r, a, b in batch.spans():
         for out, bits in zip((shared, hot), of.get(r, ()), strict=False):
             if bits:
@@ -192,60 +221,181 @@ def _renumbered(bucket: np.ndarray, places: np.ndarray, offsets: tuple[int, ...]
     return np.unique(joint, return_inverse=True)[1]
 
 
-def _keys(ranges: int):
+UP = "prefix long, unit long, child long"
+DOWN = "prefix long, unit long, part long"
+KEY_ROW, BITS_ROW = "codes binary, many binary, often binary", "bits binary, hot binary"
+CONTEXT_ROW, LEAST_ROW = "keys array<long>, contexts array<binary>, ids array<long>", "least array<long>, context array<long>, string array<long>, then array<long>"
+_TYPES = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary()), "string": pa.string()}
+
+
+def _rows(rows: list[tuple], ddl: str) -> pa.Table:
+    fields = [part.split(" ") for part in ddl.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.table({n: pa.array(c, _TYPES[t]) for (n, t), c in zip(fields, columns, strict=True)})
+
+
+def _packed(flags: np.ndarray) -> bytes:
+    return np.packbits(flags).tobytes()
+
+
+def _unpacked(bits: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+
+
+def _counted(counts: np.ndarray, least: int) -> bytes:
+    often = np.flatnonzero(counts >= least)
+    return np.stack([often, counts[often]], axis=1).astype("<u4").tobytes()
+
+
+def _keys(shape: Levels):
     def run(group: pa.Table) -> pa.Table:
-        b = Batch(group, ranges)
-        rows = []
-        for r, x, y in b.spans():
-            often = np.flatnonzero(b.count[x:y] >= OFTEN)
-            counts = np.stack([often, b.count[x:y][often]], axis=1).astype("<u4").tobytes()
-            rows.append((r, group.column("batch")[0].as_py(), b.low[x:y].tobytes(), np.packbits(b.many[x:y]).tobytes(), counts))
-        return _table(rows, ["range", "batch", "low", "many", "often"], [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()])
+        b, batch = Batch(group, shape), group.column("batch")[0].as_py()
+        rows = [(r, batch // shape.fan, batch, b.codes[x:y].tobytes(), _packed(b.many[x:y]), _counted(b.count[x:y], OFTEN)) for r, x, y in b.spans()]
+        return _rows(rows, f"{UP}, {KEY_ROW}")
 
     return run
 
 
-def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) or [()] * len(names)
-    return pa.table({n: pa.array(c, t) for n, c, t in zip(names, columns, types, strict=True)})
+class Merged:
+    """The key sets of a unit's children, merged: codes, whether each is in several documents, and in how many places (about)."""
 
+    def __init__(self, group: pa.Table, shape: Levels):
+        group = group.sort_by("child")
+        self.prefix, self.unit = group.column("prefix")[0].as_py(), group.column("unit")[0].as_py()
+        self.children = group.column("child").to_pylist()
+        codes = [np.frombuffer(x, shape.code) for x in group.column("codes").to_pylist()]
+        self.codes, inverse, self.counts = np.unique(np.concatenate(codes), return_inverse=True, return_counts=True)
+        self.own = np.split(inverse, np.cumsum([len(c) for c in codes])[:-1])
+        self.many = self.counts > 1
+        for own, many, often in zip(self.own, group.column("many").to_pylist(), group.column("often").to_pylist(), strict=True):
+            self.many[own[_unpacked(many, len(own))]] = True
+            pairs = np.frombuffer(often, "<u4").reshape(-1, 2).astype(np.int64)
+            self.counts[own[pairs[:, 0]]] += pairs[:, 1] - 1
+        self.counts = np.minimum(self.counts, 1 << 31)
+
+    def answers(self, shared: np.ndarray, hot: np.ndarray, shape: Levels, level: int) -> pa.Table:
+        """To each child which of its codes are shared, and which of those hot."""
+        rows = []
+        for child, own in zip(self.children, self.own, strict=True):
+            if shared[own].any():
+                rows.append((shape.parent(self.prefix, level), child, self.prefix, _packed(shared[own]), _packed(hot[own]) if hot[own].any() else b""))
+        return _rows(rows, f"{DOWN}, {BITS_ROW}")
 
-def _shared(hot: int):
+
+def _keys_up(shape: Levels, level: int):
     def run(group: pa.Table) -> pa.Table:
-        low = [np.frombuffer(x, "<u4") for x in group.column("low").to_pylist()]
-        many = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool) for x, k in zip(group.column("many").to_pylist(), low, strict=True)]
-        keys, inverse, counts = np.unique(np.concatenate(low), return_inverse=True, return_counts=True)
-        shared = counts > 1
-        shared[inverse[np.concatenate(many)]] = True
-        edges = np.cumsum([len(k) for k in low])[:-1]
-        own = np.split(inverse, edges)
-        for k, often in zip(own, group.column("often").to_pylist(), strict=True):
-            pairs = np.frombuffer(often, "<u4").reshape(-1, 2).astype(np.int64)
-            counts[k[pairs[:, 0]]] += pairs[:, 1] - 1
-        much = shared & (counts > hot)
+        m = Merged(group, shape)
+        digit = shape.digit(m.codes, level)
         rows = []
-        for r, batch, k in zip(group.column("range").to_pylist(), group.column("batch").to_pylist(), own, strict=True):
-            if shared[k].any():
-                rows.append((batch, r, np.packbits(shared[k]).tobytes(), np.packbits(much[k]).tobytes() if much[k].any() else b""))
-        return _table(rows, ["batch", "range", "bits", "hot"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()])
+        for d in np.unique(digit).tolist():
+            at = np.flatnonzero(digit == d)
+            rows.append((m.prefix + d * shape.fan**level, m.unit // shape.fan, m.unit, m.codes[at].tobytes(), _packed(m.many[at]), _counted(m.counts[at], 2)))
+        return _rows(rows, f"{UP}, {KEY_ROW}")
 
     return run
 
 
-def _contexts(ranges: int):
+def _shared(shape: Levels, hot: int):
+    def run(group: pa.Table) -> pa.Table:
+        m = Merged(group, shape)
+        return m.answers(m.many, m.many & (m.counts > hot), shape, shape.depth)
+
+    return run
+
+
+def _bits_down(shape: Levels, level: int):
+    def run(group: pa.Table, bits: pa.Table) -> pa.Table:
+        if not group.num_rows or not bits.num_rows:
+            return _rows([], f"{DOWN}, {BITS_ROW}")
+        m = Merged(group, shape)
+        digit = shape.digit(m.codes, level)
+        shared, hot = np.zeros(len(m.codes), bool), np.zeros(len(m.codes), bool)
+        for part, x, y in zip(*(bits.column(c).to_pylist() for c in ("part", "bits", "hot")), strict=True):
+            at = np.flatnonzero(digit == part // shape.fan**level)
+            shared[at] = _unpacked(x, len(at))
+            if y:
+                hot[at] = _unpacked(y, len(at))
+        return m.answers(shared, hot, shape, level)
+
+    return run
+
+
+def _contexts(shape: Levels):
     def run(group: pa.Table, bits: pa.Table) -> pa.Table:
         rows = []
         if group.num_rows and bits.num_rows:
-            b = Batch(group, ranges)
+            b, batch = Batch(group, shape), group.column("batch")[0].as_py()
             for r, found in b.contexts(*_bits(bits, b)).items():
-                rows.append((r, group.column("batch")[0].as_py(), [k for k, _ in found], [c for _, c in found], [b.ids[at[0][0]] for at in found.values()]))
-        return _table(rows, ["range", "batch", "keys", "contexts", "ids"], [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64())])
+                rows.append((r, batch // shape.fan, batch, [k for k, _ in found], [c for _, c in found], [b.ids[at[0][0]] for at in found.values()]))
+        return _rows(rows, f"{UP}, {CONTEXT_ROW}")
+
+    return run
+
+
+class MergedContexts:
+    """The contexts of a unit's children, equal ones once with the least id, by the digit that follows."""
+
+    def __init__(self, group: pa.Table, shape: Levels, level: int):
+        group = group.sort_by("child")
+        self.prefix, self.unit = group.column("prefix")[0].as_py(), group.column("unit")[0].as_py()
+        self.least: dict[tuple[int, bytes], int] = {}
+        self.own: list[tuple[int, list[tuple[int, bytes]]]] = []
+        for child, keys, contexts, ids in zip(*(group.column(c).to_pylist() for c in ("child", "keys", "contexts", "ids")), strict=True):
+            pairs = list(zip(keys, contexts, strict=True))
+            self.own.append((child, pairs))
+            for pair, i in zip(pairs, ids, strict=True):
+                self.least[pair] = min(self.least.get(pair, i), i)
+        self.parts: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
+        for pair in self.least:
+            code = (pair[0] + (1 << 63)) & (-1 if shape.wide else 0xFFFFFFFF)
+            self.parts[self.prefix + shape.digit(code, level) * shape.fan**level].append(pair)
+
+
+def _contexts_up(shape: Levels, level: int):
+    def run(group: pa.Table) -> pa.Table:
+        m = MergedContexts(group, shape, level)
+        rows = [(part, m.unit // shape.fan, m.unit, [k for k, _ in pairs], [c for _, c in pairs], [m.least[p] for p in pairs]) for part, pairs in m.parts.items()]
+        return _rows(rows, f"{UP}, {CONTEXT_ROW}")
 
     return run
 
 
-def _least(group: pa.Table) -> pa.Table:
-    """For each batch the least id of each context, or of each string of a context that some others resemble."""
+def _changes(context: list[int], string: list[int], then: list[int]) -> dict[int, list[tuple[int, int]]]:
+    out = defaultdict(list)
+    for j, s, d in zip(context, string, then, strict=True):
+        out[j].append((s, d))
+    return out
+
+
+def _answer(head: tuple, least: list[int], runs: list[list[tuple[int, int]]]) -> tuple:
+    """A row of answers: for each context its first least id, and where in it that changes to which."""
+    flat = [(j, s, d) for j, run in enumerate(runs) for s, d in run]
+    return (*head, least, [j for j, _, _ in flat], [s for _, s, _ in flat], [d for _, _, d in flat])
+
+
+def _least_down(shape: Levels, level: int):
+    def run(group: pa.Table, answers: pa.Table) -> pa.Table:
+        if not group.num_rows or not answers.num_rows:
+            return _rows([], f"{DOWN}, {LEAST_ROW}")
+        m = MergedContexts(group, shape, level)
+        of: dict[tuple[int, bytes], tuple[int, list]] = {}
+        for part, least, *runs in zip(*(answers.column(c).to_pylist() for c in ("part", "least", "context", "string", "then")), strict=True):
+            changes = _changes(*runs)
+            for j, (pair, low) in enumerate(zip(m.parts[part], least, strict=True)):
+                of[pair] = low, changes.get(j, [])
+        parent = shape.parent(m.prefix, level)
+        rows = [_answer((parent, child, m.prefix), [of[p][0] for p in pairs], [of[p][1] for p in pairs]) for child, pairs in m.own]
+        return _rows(rows, f"{DOWN}, {LEAST_ROW}")
+
+    return run
+
+
+def _least(shape: Levels):
+    """To each child of a range's unit the least id of each context, or of each string of a context that some others resemble."""
+    return lambda group: _least_of(group, shape)
+
+
+def _least_of(group: pa.Table, shape: Levels) -> pa.Table:
     keys, contexts, ids = (group.column(c).to_pylist() for c in ("keys", "contexts", "ids"))
     by_key: dict[int, dict[bytes, int]] = defaultdict(dict)
     for ks, cs, ds in zip(keys, contexts, ids, strict=True):
@@ -271,40 +421,34 @@ def _least(group: pa.Table) -> pa.Table:
                 size = 0
     refine()
     rows = []
-    for batch, r, ks, cs in zip(group.column("batch").to_pylist(), group.column("range").to_pylist(), keys, contexts, strict=True):
-        least, number, runs = [], [], []
-        for j, (k, c) in enumerate(zip(ks, cs, strict=True)):
+    for prefix, child, ks, cs in zip(*(group.column(c).to_pylist() for c in ("prefix", "child")), keys, contexts, strict=True):
+        low, runs = [], []
+        for k, c in zip(ks, cs, strict=True):
             strings = finer.get((k, c))
-            if strings is None:
-                least.append(by_key[k][c])
-                continue
-            least.append(int(strings[0]))
-            for e in np.flatnonzero(np.diff(strings)).tolist():  # where the least id changes, from string e + 1 on
-                number.append(j)
-                runs.append((e + 1, int(strings[e + 1])))
-        rows.append((batch, r, least, number, [a for a, _ in runs], [d for _, d in runs]))
-    return _table(rows, ["batch", "range", "least", "context", "string", "then"], [pa.int64(), pa.int64()] + [pa.list_(pa.int64())] * 4)
+            low.append(by_key[k][c] if strings is None else int(strings[0]))
+            changed = [] if strings is None else np.flatnonzero(np.diff(strings)).tolist()
+            runs.append([(e + 1, int(strings[e + 1])) for e in changed])  # where the least id changes, from string e + 1 on
+        rows.append(_answer((shape.parent(prefix, shape.depth), child, prefix), low, runs))
+    return _rows(rows, f"{DOWN}, {LEAST_ROW}")
 
 
-RESULT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>"
 
 
-def _removed(ranges: int):
+def _removed(shape: Levels):
     def run(group: pa.Table, least: pa.Table) -> pa.Table:
         if not group.num_rows:
-            return _table([], RESULT, [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int64())])
+            return _rows([], RESULT)
         strings: dict[int, list[tuple[int, int]]] = defaultdict(list)  # of each text: runs of strings to remove
         texts, ids = group.column("text").to_pylist(), group.column("doc_id").to_pylist()
         if least.num_rows:
-            b = Batch(group, ranges)
+            b = Batch(group, shape)
             texts, ids = b.texts, b.ids
             # the same keys are shared as in the pass before: those of the contexts that came back
-            for r, lows, context, string, then in zip(*(least.column(c).to_pylist() for c in ("range", "least", "context", "string", "then")), strict=True):
+            for r, lows, context, string, then in zip(*(least.column(c).to_pylist() for c in ("part", "least", "context", "string", "then")), strict=True):
                 if lows is None:  # a row of bits
                     continue
-                changes = defaultdict(list)
-                for j, s, d in zip(context, string, then, strict=True):
-                    changes[j].append((s, d))
+                changes = _changes(context, string, then)
                 for j, at in enumerate(self_contexts(b, least)[r].values()):
                     if j not in changes:
                         low = lows[j]
@@ -331,7 +475,7 @@ def _removed(ranges: int):
                 at = y
             sha.update(text[at:])
             rows.append((i, len(text), sum(y - x for x, y in spans), len(spans), sha.hexdigest(), [v for s in spans for v in s]))
-        return _table(rows, RESULT, [pa.int64()] * 4 + [pa.string(), pa.list_(pa.int64())])
+        return _rows(rows, RESULT)
 
     return run
 
@@ -343,18 +487,35 @@ def self_contexts(b: Batch, least: pa.Table):
     return b.sent
 
 
-def repeated_substrings(documents: DataFrame, batch_bytes: int = BATCH, range_bytes: int = RANGE, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and removed (starts and ends of the removed runs, in bytes), a row a document."""
-    total = text_bytes(documents)
-    batches, ranges = blocks_for(total, batch_bytes), blocks_for(total, range_bytes)
+def repeated_substrings(documents: DataFrame, batch_bytes: int = BATCH, fan: int = FAN, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and removed (starts and ends of the removed runs, in bytes), a row a document.
+
+    fan: a power of two."""
+    batches = blocks_for(text_bytes(documents), batch_bytes)
+    shape = Levels(batches, fan)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     docs = documents.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("batch"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    keys = docs.groupBy("batch").applyInArrow(_keys(ranges), "range long, batch long, low binary, many binary, often binary")
-    bits = keys.groupBy("range").applyInArrow(_shared(hot), "batch long, range long, bits binary, hot binary")
-    contexts = docs.groupBy("batch").cogroup(bits.groupBy("batch")).applyInArrow(_contexts(ranges), "range long, batch long, keys array<long>, contexts array<binary>, ids array<long>")
-    least = contexts.groupBy("range").applyInArrow(_least, "batch long, range long, least array<long>, context array<long>, string array<long>, then array<long>")
+    unit = ["prefix", "unit"]
+
+    def to_batches(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("unit").alias("batch"), *(c for c in rows.columns if c not in unit))
+
+    def meet(sent: DataFrame, up, final, down, up_row: str, down_row: str) -> DataFrame:
+        """Rows of the batches through all levels to the ranges, and their answers back to the batches."""
+        levels = [sent]
+        for n in range(1, shape.depth):
+            levels.append(levels[-1].groupBy(*unit).applyInArrow(up(shape, n), f"{UP}, {up_row}"))
+        answers = levels[-1].groupBy(*unit).applyInArrow(final, f"{DOWN}, {down_row}")
+        for n in range(shape.depth - 1, 0, -1):
+            answers = levels[n - 1].groupBy(*unit).cogroup(answers.groupBy(*unit)).applyInArrow(down(shape, n), f"{DOWN}, {down_row}")
+        return to_batches(answers)
+
+    keys = docs.groupBy("batch").applyInArrow(_keys(shape), f"{UP}, {KEY_ROW}")
+    bits = meet(keys, _keys_up, _shared(shape, hot), _bits_down, KEY_ROW, BITS_ROW)
+    contexts = docs.groupBy("batch").cogroup(bits.groupBy("batch")).applyInArrow(_contexts(shape), f"{UP}, {CONTEXT_ROW}")
+    least = meet(contexts, _contexts_up, _least(shape), _least_down, CONTEXT_ROW, LEAST_ROW)
     answers = least.unionByName(bits, allowMissingColumns=True)  # both kinds of rows go to their batch
-    return docs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_removed(ranges), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>")
+    return docs.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_removed(shape), RESULT)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

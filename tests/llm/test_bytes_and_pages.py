@@ -53,10 +53,11 @@ def mixed(n=120, seed=4):
     return out + [(None, passages[0]), (500, None), (501, "a" * 3000), (502, "a" * 120), (503, "ab" * 90), (7, passages[1] * 2), (7, passages[1] * 2)]
 
 
-@pytest.mark.parametrize("batch_bytes,range_bytes,hot", [(4 << 20, 16 << 20, 1 << 15), (2000, 3000, 1 << 15), (2000, 3000, 10), (2000, 3000, 0)])
-def test_substrings_mixed(spark, batch_bytes, range_bytes, hot):
+@pytest.mark.parametrize("batch_bytes,fan,hot", [(4 << 20, 256, 1 << 15), (2000, 256, 1 << 15), (2000, 8, 10), (2000, 8, 0), (2000, 4, 1 << 15), (4000, 2, 3)])
+def test_substrings_mixed(spark, batch_bytes, fan, hot):
+    """One level, two of short codes, and three and more of whole keys."""
     rows = mixed()
-    got = substrings.repeated_substrings(cases.documents(spark, rows), batch_bytes, range_bytes, hot).drop("removed").collect()
+    got = substrings.repeated_substrings(cases.documents(spark, rows), batch_bytes, fan, hot).drop("removed").collect()
     assert sorted(map(tuple, got), key=str) == sorted(removed(rows), key=str)
 
 
@@ -66,10 +67,41 @@ def test_substrings_hot_phrase(spark):
     phrase = "all rights reserved worldwide!"
     rows = [(k, f"{rng.randrange(150):040d}{phrase}{rng.randrange(150):040d}") for k in range(600)]
     for hot in (1 << 15, 300):
-        got = substrings.repeated_substrings(cases.documents(spark, rows), 9000, 9000, hot).drop("removed").collect()
+        got = substrings.repeated_substrings(cases.documents(spark, rows), 9000, 4, hot).drop("removed").collect()
         assert sorted(map(tuple, got)) == sorted(removed(rows))
 
 
+def test_substrings_levels():
+    """Rows a batch sends do not grow with the number of batches; a passage of every batch is one row in the fan-out a level up."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    passage = "a passage that stands in each and every document of the corpus, as it is"
+    for batches, depth in ((3, 1), (4, 1), (16, 2), (60, 3)):
+        shape = substrings.Levels(batches, 4)
+        assert shape.depth == depth
+        table = lambda k: pa.table({"batch": [k] * 2, "doc_id": [2 * k, 2 * k + 1], "text": [f"{k:060d}{passage}{-k:060d}".encode(), passage.encode()]})
+        level = pa.concat_tables([substrings._keys(shape)(table(k)) for k in range(batches)])
+        whole = np.unique(np.concatenate([substrings.Batch(table(k), shape).codes for k in range(batches)]))
+        for n in range(1, depth):
+            assert level.num_rows <= 4 * batches
+            units = level.group_by(["prefix", "unit"]).aggregate([("child", "count")])
+            assert max(units.column("child_count").to_pylist()) <= 4
+            parts = [level.filter(pc.and_(pc.equal(level["prefix"], p), pc.equal(level["unit"], u))) for p, u in zip(units["prefix"].to_pylist(), units["unit"].to_pylist(), strict=True)]
+            level = pa.concat_tables([substrings._keys_up(shape, n)(x) for x in parts])
+        assert set(level.column("unit").to_pylist()) == {0}
+        codes = np.concatenate([np.frombuffer(x, shape.code) for x in level.column("codes").to_pylist()])
+        assert set(codes.tolist()) == set(whole.tolist())
+
+
+def test_substrings_passage_in_every_batch(spark):
+    passage = "a passage that stands in each and every document of the corpus, as it is"
+    rows = [(k, f"{k:07d} {passage} {k * 7919:012d}") for k in range(400)]
+    got = substrings.repeated_substrings(cases.documents(spark, rows), 600, 4).drop("removed").collect()
+    assert sorted(map(tuple, got)) == sorted(removed(rows))
+
+
 def test_substrings_slices(spark, monkeypatch):
     monkeypatch.setattr(substrings, "SLICE", 100)
     texts = [(t or "").encode() for _, t in mixed()]
