@@ -82,12 +82,20 @@ class Words:
         """Hash of the width words from each word on, and whether they all stand in one text."""
         n = len(self.hash)
         out = np.zeros(n, U64)
-        for k in range(width):
+        for k in range(min(width, n)):  # with fewer words no shingle is whole
             out[: n - k] += mix(self.hash[k:] + U64(k * 0x51ED27 + width))
         last = np.arange(n) + width <= self.first[1:][self.doc] if n else np.zeros(0, bool)
         return mix(out), last
 
 
+def window_hashes(words: Words, at: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the width words from each of some words on: that of Words.shingles."""
+    out = np.zeros(len(at), U64)
+    for k in range(width):
+        out += mix(words.hash[at + k] + U64(k * 0x51ED27 + width))
+    return mix(out)
+
+
 def fingerprint(texts: list[bytes], table: bytes, width: int) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its shingles; one of all words if there are fewer than width."""
     out = []

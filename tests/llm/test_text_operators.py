@@ -43,7 +43,7 @@ def leaks(texts, items):
 ITEMS = [(1, "the quick brown fox jumps over the lazy dog while seven wise owls"), (2, "owls watch from tall"), (10, "one"), (3, None), (4, ""), (None, "TWO,three"), (1, "the quick brown fox jumps over the lazy dog while seven wise owls"), (7, "it has two sentences and a line")]
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 40])
+@pytest.mark.parametrize("block_bytes", [1 << 20, 600])
 def test_decontaminate_small(spark, block_bytes):
     docs, items = cases.documents(spark), spark.createDataFrame(ITEMS, "item_id long, text string")
     got = decontaminate.mark(docs, items, ["doc_id"], block_bytes).collect()
@@ -61,6 +61,16 @@ def test_decontaminate_real(spark, sf):
     assert len(got) == len(texts) and any(r[5] for r in got)
 
 
+def test_windows_of_one_token(spark):
+    """Many windows that share their rarest shingle, in documents that hold it often; equal windows of several items."""
+    phrase = "p q r s t"
+    items = [(k, f"a{k} b c d e {phrase}") for k in range(300)] + [(1000, f"a5 b c d e {phrase}"), (1001, phrase)]
+    texts = [(1, f"a{7} b c d e {phrase} " * 50), (2, f"a5 b c d e {phrase}"), (3, f"b c d e {phrase}"), (4, f"a999 b c d e {phrase}")]
+    got = decontaminate.mark(cases.documents(spark, texts), spark.createDataFrame(items, "item_id long, text string"), ["doc_id"]).collect()
+    rows = sorted((r.doc_id, r.n_words, sum(r.spans[1::2]) - sum(r.spans[::2]), len(r["items"]), decontaminate.digest(r["items"]), bool(r.spans)) for r in got)
+    assert rows == sorted(leaks(texts, items))
+
+
 def test_decontaminate_empty(spark):
     docs, items = cases.documents(spark), spark.createDataFrame([], "item_id long, text string")
     assert not any(r.spans for r in decontaminate.mark(docs, items).collect())
@@ -345,6 +355,15 @@ def test_components(spark):
     assert got == {**{k: 0 for k in range(31)}, 70: 0, 40: 40, 50: 40}
 
 
+def test_few_words(spark):
+    """A batch of fewer words than a shingle has."""
+    one = spark.createDataFrame([(1, "two words")], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(5, "two words")], "item_id long, text string").coalesce(1)
+    assert [tuple(r) for r in neardup.near_duplicates(one).collect()] == [(1, 1, 1, True)]
+    assert [(r.n_words, r.spans, r["items"]) for r in decontaminate.mark(one, items).collect()] == [(2, [0, 2], ["5"])]
+    assert decontaminate.mark(one, items.limit(0)).first().spans == []
+
+
 def test_fingerprint_is_exact():
     a, b = fingerprint([b"a b c d e", b"A b  c\td e"], SPACES, 4)
     assert (a == b).all() and len(a) == 2
