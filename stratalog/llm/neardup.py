@@ -231,7 +231,7 @@ def block_of(n):
 
 def opened(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, node, label), and of the keys with several components: key, most (the largest component), n_most, n_others."""
-    labelled = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    labelled = stored(members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")), "labelled", PLAIN)
     sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
     of_key = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
     return labelled, stored(of_key.select("key", F.col("m.label").alias("most"), F.col("m.n").alias("n_most"), (F.col("n") - F.col("m.n")).alias("n_others")), "open")
