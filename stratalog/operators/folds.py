@@ -12,8 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
-def fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, dict], tuple[object, dict]], add: str) -> DataFrame:
-    """df with the columns of add (DDL): step(state, row) -> (state, values), from start() at each new key."""
+def fold(
+    df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, dict], tuple[object, dict]], add: str, reads: list[str]
+) -> DataFrame:
+    """df with the columns of add (DDL): step(state, row) -> (state, values), from start() at each new key.
+
+    Of a row only the keys and the columns in reads become Python values; the others stay in their Arrow arrays.
+    """
     names = [part.split()[0] for part in add.split(",")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + add
 
@@ -21,8 +26,9 @@ def fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], o
         at, state = None, None
         for batch in batches:
             values: dict[str, list] = {n: [] for n in names}
-            for row in batch.to_pylist():
-                key = tuple(row[k] for k in keys)
+            columns = [batch.column(c).to_pylist() for c in reads]
+            for key, *own in zip(zip(*(batch.column(k).to_pylist() for k in keys), strict=True), *columns, strict=True):
+                row = dict(zip(reads, own, strict=True))
                 if key != at:
                     at, state = key, start()
                 state, new = step(state, row)
@@ -43,7 +49,7 @@ def greedy_batches(df: DataFrame, keys: list[str], order: list[str], size: str,
         total = filled + row[size]
         return ((number + 1, 0) if total >= limit else (number, total)), {name: number}
 
-    return fold(df, keys, order, lambda: (0, 0), step, f"{name} long")
+    return fold(df, keys, order, lambda: (0, 0), step, f"{name} long", [size])
 
 
 def rolled_segments(batches: DataFrame, keys: list[str], order: list[str], size: str, limit: int) -> DataFrame:
@@ -54,4 +60,4 @@ def rolled_segments(batches: DataFrame, keys: list[str], order: list[str], size:
         after = offset + row[size]
         return ((segment + 1, 0) if after >= limit else (segment, after)), {"segment": segment, "segment_offset": offset}
 
-    return fold(batches, keys, order, lambda: (0, 0), step, "segment long,segment_offset long")
+    return fold(batches, keys, order, lambda: (0, 0), step, "segment long,segment_offset long", [size])

@@ -38,7 +38,8 @@ def folded(ops: DataFrame) -> DataFrame:
             ok = found
         return (value, version), {"value_after": value, "version": version, "success": ok, "found": found}
 
-    return fold(ops, KEYS, ["seq"], lambda: (None, 0), step, "value_after long,version long,success boolean,found boolean")
+    reads = ["op", "value", "expected"]
+    return fold(ops, KEYS, ["seq"], lambda: (None, 0), step, "value_after long,version long,success boolean,found boolean", reads)
 
 
 def state(ops: DataFrame) -> DataFrame:
@@ -49,7 +50,12 @@ def state(ops: DataFrame) -> DataFrame:
 
 def range_scan(rows: DataFrame, table_id: int, start: str, end: str, limit: int) -> DataFrame:
     """Pairs with start <= key < end, in order, at most limit."""
-    return rows.where((F.col("table_id") == table_id) & (F.col("key") >= start) & (F.col("key") < end)).orderBy("key").limit(limit)
+    return rows.where(in_range(table_id, start, end)).orderBy("key").limit(limit)
+
+
+def in_range(table_id: int, start: str, end: str):
+    """Whether an operation or a pair is of these keys; put below the fold, it reaches the scan, and no other key is folded."""
+    return (F.col("table_id") == table_id) & (F.col("key") >= start) & (F.col("key") < end)
 
 
 def put_versions(ops: DataFrame) -> DataFrame:

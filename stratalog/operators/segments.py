@@ -84,15 +84,39 @@ def wal_garbage(segments: DataFrame, locations: DataFrame, now: Column, least_se
 def tier_routes(wanted: DataFrame, locations: DataFrame, segments: DataFrame) -> DataFrame:
     """Where each wanted entry is read: the entry index before the log index; by the segment's status local or remote.
 
-    wanted: ledger_id, entry_id, cached.  Repeated locations of a key: the last segment, then offset.
+    wanted: ledger_id, entry_id, cached.  Repeated locations of a key: the last segment, then offset.  The index is cut down to the wanted keys
+    first, and both of its kinds are aggregated at once.
     """
-    pick = lambda index: locations.where(F.col("index") == index).groupBy("ledger_id", "entry_id").agg(F.max(F.struct("segment_id", "offset", "length")).alias(index))
-    x = wanted.join(pick("entry"), ["ledger_id", "entry_id"], "left").join(pick("wal"), ["ledger_id", "entry_id"], "left")
+    keys = ["ledger_id", "entry_id"]
+    here = locations.join(wanted.select(*keys).distinct(), keys, "left_semi")
+    best = lambda index: F.max(F.when(F.col("index") == index, F.struct("segment_id", "offset", "length"))).alias(index)
+    x = wanted.join(here.groupBy(*keys).agg(best("entry"), best("wal")), keys, "left")
     x = x.join(segments.select(F.col("id").alias("_id"), "status"), F.col("entry.segment_id") == F.col("_id"), "left")
     by_entry = F.when(F.col("status").isin("Local", "Active", "Offloading"), "local").when(F.col("status") == "S3", "remote")
     route = F.when(F.col("cached"), "cache").otherwise(F.coalesce(by_entry, F.when(F.col("wal").isNotNull(), "wal"), F.lit("not_found")))
     at = F.when(route.isin("local", "remote"), F.col("entry")).when(route == "wal", F.col("wal"))
-    return x.select("ledger_id", "entry_id", route.alias("route"), at["segment_id"].alias("segment_id"), at["offset"].alias("offset"), ((route == "local") & (F.col("status") != "Active")).alias("cacheable"))
+    return x.select(
+        "ledger_id", "entry_id", route.alias("route"), at["segment_id"].alias("segment_id"), at["offset"].alias("offset"), at["length"].alias("length"),
+        ((route == "local") & (F.col("status") != "Active")).alias("cacheable"),
+    )
+
+
+def tiered_read(wanted: DataFrame, locations: DataFrame, segments: DataFrame, cached: DataFrame, records: DataFrame) -> DataFrame:
+    """The payload of each wanted entry, from the tier that its route names: ledger_id, entry_id, route, payload, outcome.
+
+    cached: ledger_id, entry_id, payload of what is held in memory.  records: segment_id, kind (entry or wal), offset, ledger_id, entry_id,
+    payload, as a segment reader gives them (see sources.segment_files.read_at).  An entry without a location is NotFound; one whose location
+    holds no such record is Corrupt.
+    """
+    keys = ["ledger_id", "entry_id"]
+    held = cached.select(*keys, F.col("payload").alias("_held"), F.lit(True).alias("_is_held"))
+    asked = wanted.select(*keys).join(held, keys, "left").withColumn("cached", F.coalesce("_is_held", F.lit(False)))
+    routes = tier_routes(asked.select(*keys, "cached"), locations, segments)
+    place = routes.withColumn("kind", F.when(F.col("route") == "wal", "wal").when(F.col("route").isin("local", "remote"), "entry"))
+    stored = records.select("segment_id", "kind", "offset", *keys, F.col("payload").alias("_stored"), F.lit(True).alias("_is_stored"))
+    x = place.join(stored, ["segment_id", "kind", "offset", *keys], "left").join(held, keys, "left")
+    outcome = F.when(F.col("route") == "not_found", "NotFound").when((F.col("route") == "cache") | F.col("_is_stored"), "Read").otherwise("Corrupt")
+    return x.select(*keys, "route", F.when(F.col("route") == "cache", F.col("_held")).otherwise(F.col("_stored")).alias("payload"), outcome.alias("outcome"))
 
 
 def block_reads(locations: DataFrame) -> DataFrame:

@@ -254,7 +254,9 @@ now = lambda: F.lit(NOW).cast("timestamp_ntz")
 OLD = f"mtime <= TIMESTAMP '{NOW}' - INTERVAL 365 DAY"
 query("offload_eligible", sql(f"SELECT id, byte_len FROM segments WHERE status = 'Local' AND ({OLD} OR (SELECT sum(byte_len) FROM segments WHERE status = 'Local') > 4000000000000)", "segments"))(lambda r: sg.offload_eligible(r.segments, now(), 365 * 86400, 4_000_000_000_000).select("id", "byte_len"))
 query("multipart_plan", sql('SELECT id, k + 1 AS part, k * 10485760 AS "offset", least(10485760, byte_len - k * 10485760) AS length, byte_len > 10485760 AS multipart FROM segments, unnest(range(greatest((byte_len + 10485759) // 10485760, 1))) AS t(k)', "segments"))(lambda r: sg.multipart_plan(r.segments))
-query("next_segment_id", sql("SELECT max(id) + 1 AS next_id FROM segments", "segments"))(lambda r: sg.next_segment_id(r.segments.where("id % 2 = 0").select(E.wal_file(c("id")).alias("name")).union(r.segments.limit(1).select(F.lit("active.seg"))), r.segments))
+query("next_segment_id", sql("SELECT max(id) + 1 AS next_id FROM segments", "segments"))(
+    lambda r: sg.next_segment_id(r.segments.select(F.when(c("id") % 2 == 0, E.wal_file(c("id"))).otherwise("active.seg").alias("name")), r.segments)
+)
 query("segment_files_sorted", sql("SELECT id FROM segments WHERE kind = 'Wal'", "segments"))(lambda r: r.segments.where("kind = 'Wal'").select(E.file_id(E.wal_file(c("id"))).alias("id")).orderBy("id"))
 query("orphans_sealed", sql("SELECT id, CASE WHEN status IN ('Active', 'Offloading') THEN 'Local' ELSE status END AS status FROM segments", "segments"))(lambda r: sg.orphans_sealed(r.segments).select("id", "status"))
 query("referenced_segments", sql("SELECT DISTINCT segment_id FROM locations WHERE index = 'wal'", "locations"))(lambda r: sg.referenced(r.locations))
@@ -276,7 +278,7 @@ query(
 )(
     lambda r: sg.tier_routes(
         r.table("part").select(c("p_partkey").alias("entry_id")).withColumn("d", c("entry_id") % 10).join(r.table("supplier").select(c("s_suppkey").alias("ledger_id"), (c("s_suppkey") % 10).alias("d")), "d").withColumn("cached", (c("ledger_id") + c("entry_id")) % 13 == 0).drop("d"), r.locations, r.segments
-    )
+    ).drop("length")
 )
 
 # ---- recovery -----------------------------------------------------------------------------------------------------------
@@ -326,7 +328,17 @@ rolling = lambda r: health.rolling(r.latencies, "node", "seq", 100).select("node
 query("rolling_p99", sql(P99, "latencies"))(rolling)
 query("health_status", sql(STATUS, "latencies"))(lambda r: health.status(rolling(r), 20_000, 190))
 query("health_changes", sql(f"SELECT node, seq, status FROM (SELECT *, coalesce(lag(status) OVER (PARTITION BY node ORDER BY seq), 'ReadWrite') AS before FROM ({STATUS})) WHERE status <> before", "latencies"))(lambda r: health.changes(health.status(rolling(r), 20_000, 190), "node", "seq").select("node", "seq", "status"))
-query("append_histogram", sql("SELECT l.node, le, count(*) FILTER (elapsed_ms <= le) AS cumulative, count(*) AS n, CAST(sum(elapsed_ms) AS BIGINT) AS total FROM latencies l, (SELECT unnest([0.1::DOUBLE, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 100.0]) AS le) GROUP BY 1, 2", "latencies"))(lambda r: health.histogram(r.latencies, "elapsed_ms", health.APPEND_BUCKETS_MS, ["node"]))
+query(
+    "replication_histogram",
+    sql(
+        """SELECT le, count(*) FILTER (seconds <= le) AS cumulative, count(*) AS n, round(sum(seconds), 3) AS total
+        FROM (SELECT elapsed_ms / 1000 AS seconds FROM latencies), (SELECT unnest([0.1::DOUBLE, 0.5, 1.0, 2.0, 5.0, 10.0, 30.0, 60.0, 120.0]) AS le) GROUP BY 1""",
+        "latencies",
+    ),
+)(
+    lambda r: health.histogram(r.latencies.withColumn("seconds", c("elapsed_ms") / 1000), "seconds", health.REPLICATION_BUCKETS_S, []).withColumn("total", F.round("total", 3))
+)
+query("append_histogram", sql("SELECT l.node, le, count(*) FILTER (elapsed_ms <= le) AS cumulative, count(*) AS n, CAST(sum(elapsed_ms) AS BIGINT) AS total FROM latencies l, (SELECT unnest([0.1::DOUBLE, 0.2, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0]) AS le) GROUP BY 1, 2", "latencies"))(lambda r: health.histogram(r.latencies, "elapsed_ms", health.APPEND_BUCKETS_MS, ["node"]))
 query("counters", sql("SELECT count(*) AS entries_written, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes_written, (SELECT count(*) FROM ledgers WHERE state IN ('InRecovery', 'Closed')) AS fences FROM entries", "entries", "ledgers"))(
     lambda r: r.entries.agg(F.count("*").alias("entries_written"), F.sum(F.octet_length("text").cast("long")).alias("bytes_written")).crossJoin(r.ledgers.agg(F.count_if(c("state").isin("InRecovery", "Closed")).alias("fences")))
 )
@@ -348,7 +360,7 @@ query("kv_get", kv_sql("SELECT table_id, key, seq, value_after AS value, version
 query("kv_cas", kv_sql("SELECT table_id, key, seq, success, value_after AS current FROM f WHERE op = 'cas'"))(lambda r: folded(r).where("op = 'cas'").select("table_id", "key", "seq", "success", c("value_after").alias("current")))
 query("kv_delete", kv_sql("SELECT table_id, key, seq, version, success FROM f WHERE op = 'delete'"))(lambda r: folded(r).where("op = 'delete'").select("table_id", "key", "seq", "version", "success"))
 query("kv_range_scan", kv_sql("SELECT key, value_after AS value, version FROM (SELECT *, row_number() OVER (PARTITION BY table_id, key ORDER BY seq DESC) AS r FROM f) WHERE r = 1 AND value_after IS NOT NULL AND table_id = 2 AND key >= '1' AND key < '7' ORDER BY key LIMIT 10"))(
-    lambda r: kv.range_scan(kv.state(r.kv_ops), 2, "1", "7", 10).select("key", "value", "version")
+    lambda r: kv.range_scan(kv.state(r.kv_ops.where(kv.in_range(2, "1", "7"))), 2, "1", "7", 10).select("key", "value", "version")
 )
 query("kv_versions", sql("SELECT table_id, key, seq, op, count(*) OVER (PARTITION BY table_id, key ORDER BY seq) AS version FROM kv_ops WHERE op IN ('put', 'delete')", "kv_ops"))(lambda r: kv.put_versions(r.kv_ops).select("table_id", "key", "seq", "op", "version"))
 query("kv_increment", sql("SELECT table_id, key, seq, CAST(sum(value) OVER (PARTITION BY table_id, key ORDER BY seq) AS BIGINT) AS new_value FROM kv_ops WHERE op = 'increment'", "kv_ops"))(lambda r: kv.counters(r.kv_ops).select("table_id", "key", "seq", "new_value"))
@@ -367,6 +379,55 @@ def segment_rows(r: Relations) -> DataFrame:
 query("segment_decode", sql("SELECT ledger_id, entry_id, text, 'ok' AS status, length FROM conv_entries", "conv_entries"))(lambda r: segment_files.decoded(segment_rows(r)).select("ledger_id", "entry_id", c("payload").cast("string").alias("text"), "status", "length"))
 
 
+def rolled_rows(r: Relations) -> DataFrame:
+    """Entries of conversations with the segment (a number) that their batch goes to."""
+    x = batches(r).select("ledger_id", "entry_id", "batch").join(r.conv_entries.select("ledger_id", "entry_id", "data"), ["ledger_id", "entry_id"])
+    return x.withColumn("segment_id", c("ledger_id") * 1000 + c("batch"))
+
+
+def write_and_list(r: Relations) -> DataFrame:
+    """Segments written to the shared folder and read back: path, content."""
+    folder = jobs.folder(r.spark).replace("/stream-", "/segments-")
+    segment_files.write_segments(segment_files.packed(rolled_rows(r).withColumn("segment", E.entry_file(c("segment_id"))), ["entry_id"]), folder)
+    return segment_files.written(r.spark, folder)
+
+
+query("segment_write_read", sql("SELECT ledger_id, entry_id, text, 'ok' AS status, length FROM conv_entries", "conv_entries"))(
+    lambda r: segment_files.decoded(write_and_list(r)).select("ledger_id", "entry_id", c("payload").cast("string").alias("text"), "status", "length")
+)
+# a torn tail of 10 bytes behind each segment's records goes, what is before it stays
+query("segment_truncate", sql("SELECT ledger_id, entry_id, text, 'ok' AS status FROM conv_entries", "conv_entries"))(
+    lambda r: segment_files.decoded(
+        segment_files.truncated(segment_rows(r).withColumn("content", F.concat("content", F.unhex(F.lit("FF" * 10))))).select("path", "content")
+    ).select("ledger_id", "entry_id", c("payload").cast("string").alias("text"), "status")
+)
+
+
+def tiered(r: Relations) -> DataFrame:
+    """Reads of all entries and of some that are nowhere, from memory, local and remote segments and the log."""
+    files = write_and_list(r).select(E.file_id(c("path")).alias("segment_id"), "content").withColumn("ledger_id", F.floor(c("segment_id") / 1000))
+    files = files.withColumn("kind", F.when(c("ledger_id") % 2 == 0, "entry").otherwise("wal"))
+    found = segment_files.decoded(files.select(c("segment_id").cast("string").alias("path"), "content")).where("status = 'ok'")
+    locations = found.select("ledger_id", "entry_id", c("file").cast("long").alias("segment_id"), "offset", "length", F.when(c("ledger_id") % 2 == 0, "entry").otherwise("wal").alias("index"))
+    status = F.get(F.array(F.lit("Local"), F.lit("S3"), F.lit("Active")), (c("ledger_id") % 3).cast("int"))
+    entries = r.conv_entries.select("ledger_id", "entry_id", c("data").alias("payload"))
+    wanted = entries.select("ledger_id", "entry_id").unionByName(entries.where("ledger_id % 7 = 0").select("ledger_id", (c("entry_id") + 100_000).alias("entry_id")))
+    places = locations.withColumnRenamed("index", "kind").join(wanted, ["ledger_id", "entry_id"], "left_semi")
+    records = segment_files.read_at(files.select("segment_id", "kind", "content"), places).where("payload is not null")
+    out = sg.tiered_read(wanted, locations, files.select(c("segment_id").alias("id"), status.alias("status")), entries.where("ledger_id % 5 = 0"), records)
+    return out.select("ledger_id", "entry_id", "route", c("payload").cast("string").alias("text"), "outcome")
+
+
+query(
+    "tiered_read",
+    sql(
+        """SELECT ledger_id, entry_id, CASE WHEN ledger_id % 5 = 0 THEN 'cache' WHEN ledger_id % 2 = 1 THEN 'wal' WHEN ledger_id % 3 = 1 THEN 'remote' ELSE 'local' END AS route, text, 'Read' AS outcome FROM conv_entries
+        UNION ALL SELECT ledger_id, entry_id + 100000, 'not_found', NULL, 'NotFound' FROM conv_entries WHERE ledger_id % 7 = 0""",
+        "conv_entries",
+    ),
+)(tiered)
+
+
 def stream(r: Relations, name: str) -> DataFrame:
     return r.spark.readStream.schema(r.table(name).schema).parquet(f"{r.sf_dir}/{name}.parquet*")
 
@@ -377,4 +438,12 @@ query("stream_dedup", sql("SELECT DISTINCT l_orderkey AS ledger_id, CAST(l_linen
 query("stream_lac", "SELECT conv_id AS ledger_id, max(greatest(turn - 1, 0)) AS lac, max(turn) AS last_entry_id, count(*) AS n_entries FROM conversations GROUP BY 1")(
     lambda r: jobs.run_once(jobs.positions(stream(r, "conversations").select(c("conv_id").alias("ledger_id"), c("turn").alias("entry_id"), F.greatest(c("turn") - 1, F.lit(0)).alias("lac"))), "complete")
 )
-query("stream_lease")(lambda r: jobs.run_once(jobs.lapsed_leases(stream(r, "events").select((c("user_id") % 20).alias("node_id"), c("ts").cast("timestamp").alias("at")), "15 minutes", "1 hour")))
+LEASES = """SELECT node_id, CAST(max(beat) AS TIMESTAMP) AS last_heartbeat, CAST(max(beat) + INTERVAL 15 MINUTE AS TIMESTAMP) AS expired_at, count(*) AS n_heartbeats FROM (
+    SELECT *, sum(CASE WHEN earlier IS NULL OR beat >= earlier + INTERVAL 15 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY node_id ORDER BY beat, event_id) AS session
+    FROM (SELECT user_id % 20 AS node_id, ts AS beat, event_id, lag(ts) OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS earlier FROM events))
+    GROUP BY node_id, session HAVING max(beat) + INTERVAL 15 MINUTE <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
+plain_time = lambda x: c(x).cast("timestamp_ntz").alias(x)
+beats = lambda r: stream(r, "events").select((c("user_id") % 20).alias("node_id"), c("ts").cast("timestamp").alias("at"))
+query("stream_lease", LEASES)(
+    lambda r: jobs.run_once(jobs.lapsed_leases(beats(r), "15 minutes", "1 hour")).select("node_id", plain_time("last_heartbeat"), plain_time("expired_at"), "n_heartbeats")
+)

@@ -34,12 +34,21 @@ def lapsed_leases(heartbeats: DataFrame, ttl: str, delay: str) -> DataFrame:
 
 
 def folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="stratalog-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: a stream's state needs a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="stratalog-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def run_once(job: DataFrame, mode: str = "append") -> DataFrame:
-    """All available input through the job; the table that it leaves (complete and update: the last state)."""
+    """All available input through the job; the table that it leaves (complete: the last state).
+
+    In update mode a batch holds just the keys that changed, so a table that each batch replaces would lose the others: it is refused.
+    """
+    if mode not in ("append", "complete"):
+        raise ValueError(f"run_once writes appended rows or the complete state, not {mode}")
     spark = job.sparkSession
     at = folder(spark)
     out = f"{at}/out"
