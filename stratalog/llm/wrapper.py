@@ -1,15 +1,18 @@
 """Main text of pages by wrapper induction.
 
-A page becomes a tree of its block elements in which runs of like siblings are one repeated node,
+A page becomes a tree of its block elements in which siblings of one label (tag and names) are one repeated node,
 so a tree is small however long its page.  Of each host the richest tree is the reference; every
-page of the host is aligned with it by simple tree matching.  Text that stands in the same aligned
+page of the host is aligned with it by simple tree matching.  As labels are unique among siblings, a node can only match the one of its own
+path, and the best order-preserving match of two lists of children is their heaviest increasing subsequence: the matching is
+exact in n log n steps, and parsing is linear, however a page is nested.  Text that stands in the same aligned
 node on nearly all pages of a host is template; slots that vary are content.  Copies of one article vote
 once, so they do not make its text a template, and votes are counts that merge: all
 pages of a host vote, in no one task.  Copies are told by their first h1 that the markup does not leave out; where
 there is none, or one outside article and main stands on nearly all differing pages (the site's name), by all the text not left out.
 
 From the slots, what the markup itself names as a menu, header, footer, sidebar, notice, advert, form, script, style
-or reader comment is left out, and of what is left the article is taken (else main, else the body).
+or reader comment is left out, and of what is left the article is taken (else main, else the body).  Where a page has a main, an article
+counts only in it: a card beside it is a teaser.
 
 Defined results: a null or empty html, and a page without an article's text, give ''.  A null
 or malformed url belongs to the host ''.  Cut pages are read as far as they go; repeated rows are read each on its own.
@@ -17,9 +20,9 @@ or malformed url belongs to the host ''.  Cut pages are read as far as they go;
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
+from bisect import bisect_right
 from functools import lru_cache
 from html import unescape
 
@@ -43,6 +46,10 @@ LEFT_OUT = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "button"
 NAMED = set("nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead banner footer sidebar side aside complementary widget ad ads advert adverts advertisement sponsor sponsored promo "
             "notice cookie cookies consent alert popup modal newsletter subscribe signup login form search comment comments reply replies disqus share sharing social related recommended pagination pager contentinfo toolbar".split())
 COMMENTS = {"comment", "comments", "reply", "replies"}
+#: Names that are parts of an article inside one, and words that tie a header to it.
+OWN_PARTS, ARTICLE_WORDS = {"header", "masthead", "side"}, {"article", "post", "entry", "story", "content"}
+#: How a block belongs to the main text: in an article (of main, if there is one), in main, in an article beside main.
+ARTICLE, MAIN, BESIDE = 3, 2, 1
 #: Words that leave the one before as the head of a compound, words that deny it, and elements whose id in an article is but the target of a link.
 PLACES = set("container wrapper wrap box area list section bar block inner outer top bottom left right slot unit links link buttons button posts primary secondary".split())
 DENIED = {"no", "not", "non", "has", "have", "with", "without", "hide", "is", "after", "before"}
@@ -69,7 +76,7 @@ def head(value: str) -> str:
         return ""
     while len(words) > 1 and (words[-1] in PLACES or words[-1].isdigit()):
         words.pop()
-    return words[-1]
+    return "" if words[-1] in OWN_PARTS and words[0] in ARTICLE_WORDS else words[-1]
 
 
 @lru_cache(4096)
@@ -83,6 +90,17 @@ def parse(html: str) -> Node:
     """The tree of a page: Nodes and strings (character references still in them)."""
     root = Node("html")
     stack = [root]
+    made: list[tuple[Node, Node]] = []  # nodes and their parents, in page order
+    open_at: dict[str, list[int]] = {}  # places on the stack, by tag
+    scopes: list[int] = []
+
+    def cut(k: int) -> None:
+        while len(stack) > k:
+            gone = stack.pop().tag
+            open_at[gone].pop()
+            if gone in SCOPE:
+                scopes.pop()
+
     at, size = 0, len(html)
     while at < size:
         m = TOKEN.match(html, at)
@@ -94,39 +112,38 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            if any(n.tag == tag for n in stack[1:]):
-                while stack.pop().tag != tag:
-                    pass
+            if open_at.get(tag):
+                cut(open_at[tag][-1])
             continue
         attributes = m[3] if m[2] else m[6]
         names = attribute_names(attributes) if attributes and "=" in attributes else ()
-        if tag in BLOCK:
-            # a block ends an open paragraph, and a list item or cell the one before
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in SCOPE:
-                    break
+        # a block ends an open paragraph, and a list item or cell the one before
+        if tag in BLOCK and open_at.get("p") and open_at["p"][-1] > (scopes[-1] if scopes else 0):
+            cut(open_at["p"][-1])
         if tag in CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in CLOSES[tag]:
-                    del stack[k:]
-                    break
-                if stack[k].tag in SCOPE and stack[k].tag not in CLOSES[tag]:
-                    break
+            last = max((open_at[x][-1] for x in CLOSES[tag] if open_at.get(x)), default=0)
+            k = len(scopes) - 1
+            while k >= 0 and stack[scopes[k]].tag in CLOSES[tag]:
+                k -= 1
+            if last > (scopes[k] if k >= 0 else 0):
+                cut(last)
         node = Node(tag, *names)
-        if tag == "main" or tag == "article" and not node.heads & COMMENTS:
-            for n in stack:
-                n.holds, n.holds_main = n.holds + 1, n.holds_main or tag == "main"
+        made.append((node, stack[-1]))
         stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
             if tag == "title":
                 node.children.append(html[at : end.start() if end else size])
             at = end.end() if end else size
         elif tag not in VOID and not attributes.endswith("/") or tag in BLOCK and tag != "hr":
+            if tag in SCOPE:
+                scopes.append(len(stack))
+            open_at.setdefault(tag, []).append(len(stack))
             stack.append(node)
+    for node, parent in reversed(made):
+        own = node.tag == "main" or node.tag == "article" and not node.heads & COMMENTS
+        parent.holds += node.holds + own
+        parent.holds_main = parent.holds_main or node.holds_main or node.tag == "main"
     return root
 
 
@@ -137,12 +154,24 @@ def named(node: Node, level: int) -> bool:
     if node.tag in ("body", "html", "main"):
         return False
     heads = node.heads if level and node.tag in TARGETS else node.heads | node.id_heads
+    if level in (ARTICLE, BESIDE):
+        heads = heads - OWN_PARTS
     return bool(heads & NAMED) or bool(node.id_heads & COMMENTS) and node.tag == "section"
 
 
 def outside(node: Node, level: int, holders: bool = False) -> bool:
     """holders: elements around an article are not left out by their names; those around main never are."""
-    return node.tag in LEFT_OUT or node.tag in RAW or node.tag == "header" and level != 2 or not (node.holds_main or holders and node.holds) and named(node, level)
+    if node.tag in LEFT_OUT or node.tag in RAW or node.tag == "header" and level not in (ARTICLE, BESIDE):
+        return True
+    return not (node.holds_main or holders and node.holds) and named(node, level)
+
+
+def level_of(node: Node, level: int, has_main: bool) -> int:
+    if node.tag == "article":
+        return ARTICLE if level in (ARTICLE, MAIN) or not has_main else BESIDE
+    if node.tag == "main":
+        return max(level, MAIN)
+    return MAIN if not level and node.tag == "div" and "main" in node.names else level
 
 
 def main_blocks(found: list) -> list:
@@ -164,22 +193,22 @@ def held(root: Node) -> bool:
     return False
 
 
-def blocks(root: Node) -> list[tuple[str, Node, tuple, bool, int]]:
+def blocks(root: Node) -> list[tuple[str, Node, int, bool, int]]:
     """The blocks of a page. An element named as another part that holds articles is read where no article stands outside of it,
     if it holds the page's only one or more text than else is the main text; otherwise they are teasers or the like."""
     found = _blocks(root)
     if root.holds and held(root):
         own = main_blocks(found)
         level, size = max((b[4] for b in own), default=0), sum(len(b[0]) for b in own)
-        if level < 2:
+        if level in (0, MAIN):
             other = _blocks(root, holders=True)
             if sum(len(b[0]) for b in main_blocks(other)) > size or level == 0 and root.holds == 1:
                 return other
     return found
 
 
-def _blocks(root: Node, holders: bool = False) -> list[tuple[str, Node, tuple, bool, int]]:
-    """Blocks in page order: text, its block element, the path of labels to it, whether left out, and 2 in an article, 1 in main, else 0."""
+def _blocks(root: Node, holders: bool = False) -> list[tuple[str, Node, int, bool, int]]:
+    """Blocks in page order: text, its block element, the hash of the labels on the path to it, whether left out, and how it belongs to the main text."""
     out: list = []
     parts: list[str] = []
 
@@ -191,7 +220,7 @@ def _blocks(root: Node, holders: bool = False) -> list[tuple[str, Node, tuple, b
                 out.append((text, *state))
 
     # an explicit stack: pages may be nested deeper than Python may recurse
-    todo: list = [(root, (root, ("html",), False, 0), 0)]
+    todo: list = [(root, (root, step(0, "html"), False, 0), 0)]
     while todo:
         node, state, k = todo.pop()
         if k == 0 and node.tag in BLOCK:
@@ -209,11 +238,11 @@ def _blocks(root: Node, holders: bool = False) -> list[tuple[str, Node, tuple, b
                 continue
             own, path, left, level = state
             left = left or outside(child, level, holders)
-            level = 2 if child.tag == "article" else max(level, 1) if child.tag == "main" or "main" in child.names and child.tag == "div" else level
+            level = level_of(child, level, root.holds_main)
             if child.tag in BLOCK:
                 todo.append((node, state, k))
                 flush(state)
-                todo.append((child, (child, (*path, child.label), left, level), 0))
+                todo.append((child, (child, step(path, child.label), left, level), 0))
                 break
             todo.append((node, state, k))
             todo.append((child, (own, path, left, level), 0))
@@ -227,84 +256,108 @@ def _blocks(root: Node, holders: bool = False) -> list[tuple[str, Node, tuple, b
 # ---- trees and their alignment --------------------------------------------------------------------------------
 
 
-def skeleton(root: Node, deepest: int = 40) -> list:
-    """[label, children]: block elements only, runs of like siblings as one node with the children of all."""
+def step(path: int, label: str) -> int:
+    """The hash of a path of labels that goes on by one; the same in every process."""
+    return xxhash.xxh64_intdigest(label, path) >> 2
+
 
-    def merged(nodes: list[Node], label: str, depth: int) -> list:
-        inner: list[Node] = []
-        for n in nodes:
+def skeleton(root: Node) -> str:
+    """The tree of a page as lines in preorder, depth and label of each node: block elements only, siblings of one label as one node with the children of all."""
+    lines: list[str] = []
+    todo: list[tuple[int, str, list[Node]]] = [(0, "html", [root])]
+    while todo:
+        depth, label, members = todo.pop()
+        lines.append(f"{depth} {label}")
+        groups: dict[str, list[Node]] = {}
+        for n in members:
             found: list = list(reversed(n.children))
             while found:
                 c = found.pop()
                 if isinstance(c, str) or c.tag in RAW:
                     continue
                 if c.tag in BLOCK:
-                    inner.append(c)
+                    groups.setdefault(c.label, []).append(c)
                 else:
                     found.extend(reversed(c.children))
-        runs: list[tuple[str, list[Node]]] = []
-        for c in inner:
-            if runs and runs[-1][0] == c.label:
-                runs[-1][1].append(c)
-            else:
-                runs.append((c.label, [c]))
-        return [label, [merged(members, name, depth + 1) for name, members in runs] if depth < deepest else []]
-
-    return merged([root], "html", 0)
+        todo += [(depth + 1, name, group) for name, group in reversed(groups.items())]
+    return "\n".join(lines)
+
+
+def nodes(tree: str) -> list[tuple[int, int]]:
+    """The path's hash of each node, and the number of its parent (-1: none), in preorder."""
+    out: list[tuple[int, int]] = []
+    above: list[int] = []
+    for line in tree.split("\n"):
+        depth, label = line.split(" ", 1)
+        del above[int(depth) :]
+        parent = above[-1] if above else -1
+        above.append(len(out))
+        out.append((step(out[parent][0] if parent >= 0 else 0, label), parent))
+    return out
 
 
-def paths(tree: list) -> list[tuple[tuple[str, ...], list]]:
-    """Nodes in preorder with the path of labels to each."""
-    out, todo = [], [((tree[0],), tree)]
+def heaviest(rows: list[tuple[int, int]]) -> tuple[int, list[int]]:
+    """Of (place, weight) in order the heaviest subsequence of ascending places: its weight, and which rows it is made of."""
+    if all(a[0] < b[0] for a, b in zip(rows, rows[1:], strict=False)):
+        return sum(w for _, w in rows), list(range(len(rows)))
+    ends: list[int] = []  # ascending places; a later one ends a heavier subsequence
+    best: list[tuple[int, int]] = []  # its weight and its last row
+    before = [-1] * len(rows)
+    for k, (place, weight) in enumerate(rows):
+        at = bisect_right(ends, place)
+        total = weight
+        if at:
+            total += best[at - 1][0]
+            before[k] = best[at - 1][1]
+        stop = at
+        while stop < len(ends) and best[stop][0] <= total:
+            stop += 1
+        ends[at:stop], best[at:stop] = [place], [(total, k)]
+    total, k = best[-1]
+    chosen = []
+    while k >= 0:
+        chosen.append(k)
+        k = before[k]
+    return total, chosen[::-1]
+
+
+def matched(own: str, reference: str) -> tuple[int, dict[int, int]]:
+    """Simple tree matching, the largest top-down, order-preserving match of equal labels: its size, and for the path of each matched node the
+    number of the reference's node."""
+    a = nodes(own)
+    number = {path: k for k, (path, _) in enumerate(nodes(reference))}
+    children: dict[int, list[int]] = {}
+    for k, (path, parent) in enumerate(a):
+        if path in number:
+            children.setdefault(parent, []).append(k)
+    weight: dict[int, int] = {}
+    chosen: dict[int, list[int]] = {}
+    for k in range(len(a) - 1, -1, -1):
+        if a[k][0] in number:
+            below = children.get(k, [])
+            total, rows = heaviest([(number[a[c][0]], weight[c]) for c in below])
+            weight[k], chosen[k] = 1 + total, [below[r] for r in rows]
+    out, todo = {}, [0] if 0 in weight else []
     while todo:
-        path, node = todo.pop()
-        out.append((path, node))
-        todo += [((*path, c[0]), c) for c in reversed(node[1])]
-    return out
+        k = todo.pop()
+        out[a[k][0]] = number[a[k][0]]
+        todo += chosen[k]
+    return weight.get(0, 0), out
 
 
-def matched(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching: the largest top-down, order-preserving match of equal labels; pairs of node identities."""
-    if a[0] != b[0]:
-        return 0, []
-    x, y = a[1], b[1]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    inner = {}
-    for i in range(1, len(x) + 1):
-        for j in range(1, len(y) + 1):
-            w, pairs = matched(x[i - 1], y[j - 1])
-            inner[i, j] = w, pairs
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + w)
-    out, i, j = [(id(a), id(b))], len(x), len(y)
-    while i and j:
-        w, pairs = inner[i, j]
-        if w and best[i][j] == best[i - 1][j - 1] + w:
-            out += pairs
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return best[len(x)][len(y)] + 1, out
+_kept = lru_cache(512)(matched)
+#: Trees of so many characters together are matched anew each time, so the memory of matches is bounded.
+LARGE_TREES = 1 << 13
 
 
-@lru_cache(4096)
-def aligned(own: str, reference: str) -> dict[tuple[str, ...], int]:
-    """For each path of labels in a page's tree the number of the reference node that the first node there is aligned with."""
-    a, b = json.loads(own), json.loads(reference)
-    number = {id(node): k for k, (_, node) in enumerate(paths(b))}
-    of = dict(matched(a, b)[1])
-    out: dict[tuple[str, ...], int] = {}
-    for path, node in paths(a):
-        if id(node) in of:
-            out.setdefault(path, number[of[id(node)]])
-    return out
+def aligned(own: str, reference: str) -> dict[int, int]:
+    return (_kept if len(own) + len(reference) <= LARGE_TREES else matched)(own, reference)[1]
 
 
-def slot(path: tuple[str, ...], alignment: dict) -> int:
+def slot(path: int, alignment: dict[int, int]) -> int:
     """The aligned node's number; below 0 for a node of no counterpart, by its path."""
     k = alignment.get(path)
-    return k if k is not None else -1 - (xxhash.xxh64_intdigest("/".join(path)) >> 2)
+    return k if k is not None else -1 - path
 
 
 def text_hash(text: str) -> int:
@@ -330,7 +383,7 @@ def copy_key(found: list) -> tuple[int, int, bool]:
     return text_hash(f"{min(head[4], 1)} {head[0]}"), body, not head[4]
 
 
-TREE_TYPES = {"tree": pa.string(), "title": pa.int64(), "body": pa.int64(), "unsure": pa.bool_(), "hashes": pa.list_(pa.int64()), "paths": pa.list_(pa.string())}
+TREE_TYPES = {"tree": pa.string(), "title": pa.int64(), "body": pa.int64(), "unsure": pa.bool_(), "hashes": pa.list_(pa.int64()), "paths": pa.list_(pa.int64())}
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,20 +393,23 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             root = parse(html or "")
             found = blocks(root)
             seen = [(t, path) for t, _, path, *_ in found]
-            rows.append((json.dumps(skeleton(root), separators=(",", ":")), *copy_key(found), [text_hash(t) for t, _ in seen], ["\x01".join(p) for _, p in seen]))
+            rows.append((skeleton(root), *copy_key(found), [text_hash(t) for t, _ in seen], [p for _, p in seen]))
         columns = list(zip(*rows, strict=True)) or [[]] * len(TREE_TYPES)
         yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("row"), *(pa.array(c, t) for c, t in zip(columns, TREE_TYPES.values(), strict=True))], ["host", "row", *TREE_TYPES])
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        slots = [[slot(tuple(p.split("\x01")), aligned(tree, reference)) for p in where] for tree, reference, where in zip(*(batch.column(c).to_pylist() for c in ("tree", "reference", "paths")), strict=True)]
+        slots = []
+        for tree, reference, where in zip(*(batch.column(c).to_pylist() for c in ("tree", "reference", "paths")), strict=True):
+            alignment = aligned(tree, reference)
+            slots.append([slot(p, alignment) for p in where])
         yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("title"), pa.array(slots, pa.list_(pa.int64())), batch.column("hashes")], ["host", "title", "slots", "hashes"])
 
 
 def induce(pages: DataFrame) -> DataFrame:
     """Wrappers: host, n_rows (pages), reference (a tree), template (slots and hashes of texts that stand on nearly all pages); hosts without template texts have none."""
-    trees = pages.select(host(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("row"), "html").mapInArrow(_trees, "host string, row long, tree string, title long, body long, unsure boolean, hashes array<long>, paths array<string>")
+    trees = pages.select(host(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("row"), "html").mapInArrow(_trees, "host string, row long, tree string, title long, body long, unsure boolean, hashes array<long>, paths array<long>")
     # differing pages of each h1, then of each host; pages without text are none
     richest = F.max(F.struct(F.length("tree").alias("n"), F.col("tree").alias("reference")))
     differing = trees.where(F.size("hashes") > 0).groupBy("host", "title", "unsure", "body").agg(richest.alias("r"), F.count("*").alias("n_rows"))
@@ -377,7 +433,7 @@ def main_text(html: str | None, reference: str | None = None, template: frozense
     root = parse(html or "")
     found = blocks(root)
     if template and found:
-        alignment = aligned(json.dumps(skeleton(root), separators=(",", ":")), reference)
+        alignment = aligned(skeleton(root), reference)
         found = [b for b in found if (slot(b[2], alignment), text_hash(b[0])) not in template]
     return "\n".join(b[0] for b in main_blocks(found))
 

@@ -345,7 +345,71 @@ def test_template_without_titles(spark):
     assert got["near/3"] == "One\nThe only story.\nRead 3 times" and "Story 1 text." in got["copies/4"] and len(got) == len(rows)
 
 
+def largest(a, b):
+    """Simple tree matching as it is defined: (label, children) pairs, all pairs of children."""
+    if a[0] != b[0]:
+        return 0
+    best = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+    for i, x in enumerate(a[1], 1):
+        for j, y in enumerate(b[1], 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + largest(x, y))
+    return best[-1][-1] + 1
+
+
+def lines(tree, depth=0):
+    return [f"{depth} {tree[0]}", *(x for c in tree[1] for x in lines(c, depth + 1))]
+
+
 def test_tree_matching():
-    a = ["html", [["div", [["p", []]]], ["ul", [["li", []]]], ["div", []]]]
-    b = ["html", [["nav", []], ["div", [["p", []], ["h1", []]]], ["div", []]]]
-    assert wrapper.matched(a, b)[0] == 4
+    rng = random.Random(4)
+
+    def tree(label="html", depth=0):
+        names = rng.sample(["div", "p", "ul", "div.a", "h2", "section", "table"], rng.randint(0, 5 if depth < 3 else 0))
+        return (label, [tree(n, depth + 1) for n in names])
+
+    for _ in range(150):
+        a, b = tree(), tree()
+        size, of = wrapper.matched("\n".join(lines(a)), "\n".join(lines(b)))
+        assert size == largest(a, b) == len(of)
+    assert wrapper.matched("0 html", "0 body") == (0, {})
+
+
+@pytest.mark.parametrize("html,want", [
+    ('<article><div class="article-header"><h1>Title</h1></div><p class="header">Head.</p><div class="ad-hoc">Ad hoc.</div><div class="social-history">History.</div><p class="side-note">Note.</p><p>Story.</p></article>', "Title\nHead.\nAd hoc.\nHistory.\nNote.\nStory."),
+    ('<div class="post-header"><h1>Title</h1></div><p>Story.</p><div class="site-header">Site</div>', "Title\nStory."),
+    ('<main><h1>Title</h1><p>The story of this page.</p></main><article class="card"><p>A teaser of quite another and longer story.</p></article>', "Title\nThe story of this page."),
+    ('<main><div><article><p>Story.</p></article></div><p>More</p></main><article><p>Teaser</p></article>', "Story."),
+    ('<main></main><article><p>Story.</p></article><p>Else</p>', "Story."),
+])
+def test_parts_of_articles(html, want):
+    assert wrapper.main_text(html) == want
+
+
+def test_pages_of_any_shape_in_linear_time():
+    """Alternating and differing siblings, deep and unclosed elements; a page against its reference."""
+    import time
+    import tracemalloc
+
+    siblings = "".join(f"<h2>H {k}</h2><p class=c{k}>text {k}</p>" for k in range(3000))
+    pages = [
+        "<h2>H</h2><p>x</p>" * 3000, siblings, "<i>" * 20_000 + "</b><p>x</p>" * 20_000, "<div>" * 20_000 + "deep", "<article>" * 20_000 + "deep", "<p>" * 20_000, "<td><tr>" * 10_000, "<a <b <c" * 20_000, "<li><ul>" * 10_000,
+        "<div>" + "<p>a</p><div><p>b</p></div>" * 5000 + "</div>",
+    ]
+    for html in pages:
+        began = time.perf_counter()
+        tree = wrapper.skeleton(wrapper.parse(html))
+        wrapper.main_text(html, tree, frozenset([(1, 1)]))
+        assert time.perf_counter() - began < 3, html[:30]
+    backwards = wrapper.skeleton(wrapper.parse("".join(f"<h2>H {k}</h2><p class=c{k}>text {k}</p>" for k in reversed(range(3000)))))
+    tracemalloc.start()
+    began = time.perf_counter()
+    wrapper.main_text(siblings, backwards, frozenset([(1, 1)]))
+    assert time.perf_counter() - began < 3 and tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
+def test_wrapper_over_deep_pages(spark):
+    """Template text below any depth is told."""
+    page = lambda k: "<div>" * 60 + f"<p>Our site</p><section><h1>Title {k}</h1><p>Story {k}.</p></section>" + "</div>" * 60
+    pages = spark.createDataFrame([(k, "http://deep.example/", page(k)) for k in range(6)], "page_id long, url string, html string")
+    assert {r.text for r in wrapper.extracted(pages).collect()} == {f"Title {k}\nStory {k}." for k in range(6)}
