@@ -6,6 +6,12 @@ an L2 penalty, and a counterfactual penalty.  For the last, identity terms in la
 sentences are swapped for other terms of the same family, and every squared change of the
 score is added: a bare group mention can therefore not move the score.
 
+Families are a fixed list of neutral terms for groups of people, and, for what that list doesn't know (other languages, other
+groups), families that are learned from the labelled sentences: words that are common in texts labelled clean, about as
+common in the others, and interchangeable, as they stand next to the same words.  An insult is not common in clean texts, so it is in no family.
+The members of learned families are features of the model, however weak, so that the penalty acts on them.
+Swaps along learned families are a sample: a few sentences of a text, one swap for each; their penalty is a mean of its own.
+
 Null and empty texts have no words and score the bias alone.  Labels that are null, or whose
 document is missing, are not used.  Repeated rows are scored each on its own.
 """
@@ -50,6 +56,15 @@ class ToxicityParams:
 
     max_train_rows: int = 6000
     max_changes: int = 20_000
+    #: learned families: how many words may be in them, how common one is in clean texts, how much more in toxic ones, the likeness of
+    #: contexts, the most members; and the sentences of a text that are swapped, and how strongly a change counts
+    family_terms: int = 300
+    family_df: float = 0.02
+    family_ratio: float = 2.0
+    likeness: float = 0.8
+    family_size: int = 12
+    swaps_per_text: int = 4
+    learned: float = 5.0
     min_df: int = 4
     min_z: float = 5.0
     max_features: int = 3000
@@ -65,6 +80,8 @@ class ToxicityModel:
     weights: dict[str, float]
     bias: float
     prefix_lengths: tuple[int, ...]
+    #: counterfactuals that the fit used, of given and of learned families
+    changes: tuple[int, int] = (0, 0)
     memo: dict[str, tuple] = field(default_factory=dict, repr=False, compare=False)
 
     def score(self, text: str | None) -> float:
@@ -103,6 +120,57 @@ def swapped(sentence: list[str], families: tuple[tuple[str, ...], ...]) -> Itera
         yield [place[w][0][(place[w][1] + shift) % len(place[w][0])] if w in place else w for w in sentence]
 
 
+def contexts(text: str | None, terms: set[str]) -> Counter:
+    """How often each term stands before and after each other, within sentences."""
+    out: Counter = Counter()
+    for sentence in SENTENCE.split((text or "").lower()):
+        words = WORD.findall(sentence)
+        for a, b in zip(words, words[1:], strict=False):
+            if a in terms and b in terms:
+                out[a, f">{b}"] += 1
+                out[b, f"<{a}"] += 1
+    return out
+
+
+def families_of(terms: list[str], counts: Counter, params: ToxicityParams) -> tuple[tuple[str, ...], ...]:
+    """Families of interchangeable terms (given in falling order of frequency): each joins the family whose first member's contexts are most like its own."""
+    column = {c: k for k, c in enumerate(sorted({c for _, c in counts}))}
+    row = {t: k for k, t in enumerate(terms)}
+    table = np.zeros((len(terms), max(1, len(column))))
+    for (t, c), n in counts.items():
+        table[row[t], column[c]] = math.sqrt(n)
+    table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
+    found: list[list[str]] = []
+    for t in terms:
+        like = [(float(table[row[t]] @ table[row[f[0]]]), -k) for k, f in enumerate(found) if len(f) < params.family_size]
+        best = max(like, default=(0.0, 0))
+        if best[0] >= params.likeness:
+            found[-best[1]].append(t)
+        else:
+            found.append([t])
+    known = {t for family in params.families for t in family}
+    return tuple(kept for f in found if len(kept := tuple(t for t in f if t not in known)) > 1)
+
+
+def common_terms(counts, n1: int, n0: int, params: ToxicityParams) -> list[str]:
+    """Of (word, rows labelled toxic, rows labelled clean) the words that may be in a learned family, the most frequent first."""
+    least = max(params.min_df, params.family_df * n0)
+    kept = [(-clean, w) for w, toxic, clean in counts if clean >= least and toxic * n0 <= params.family_ratio * clean * max(1, n1)]
+    return [w for _, w in sorted(kept)[: params.family_terms]]
+
+
+def learned_swaps(text: str | None, place: dict[str, tuple[tuple[str, ...], int]], most: int) -> Iterator[tuple[list[str], list[str]]]:
+    """Sentences with terms of learned families, those of least hash, and each with its terms moved along their families."""
+    hits = []
+    for sentence in {*SENTENCE.split((text or "").lower())}:
+        words = WORD.findall(sentence)
+        if any(w in place for w in words):
+            hits.append((zlib.crc32(sentence.encode()), words))
+    for h, words in sorted(hits)[:most]:
+        moved = lambda w: (f := place[w][0])[(place[w][1] + 1 + h % (len(f) - 1)) % len(f)]
+        yield words, [moved(w) if w in place else w for w in words]
+
+
 def strength(positive: int, negative: int, n1: int, n0: int) -> float:
     """Two-proportion z of a feature's document frequency between the labels."""
     p = (positive + negative + 1) / (n0 + n1 + 2)
@@ -113,25 +181,30 @@ def present(text: str | None, lengths: tuple[int, ...]) -> set[str]:
     return {f for w in set(WORD.findall((text or "").lower())) for f in features(w, lengths)}
 
 
-def design(text: str | None, index: dict[str, int], params: ToxicityParams) -> tuple[dict[int, float], list[dict[int, float]]]:
-    """A text's values of the indexed features, and how each counterfactual of its sentences changes them."""
+def design(text: str | None, index: dict[str, int], params: ToxicityParams, learned: tuple[tuple[str, ...], ...] = ()) -> tuple[dict, list[dict], list[dict]]:
+    """A text's values of the indexed features, and how each counterfactual of its sentences changes them: along given and along learned families."""
     of = lambda w: [f for f in features(w, params.prefix_lengths) if f in index]
     lowered = (text or "").lower()
     row = {index[f]: v for f, v in values(Counter(WORD.findall(lowered)), of).items()}
+    def change(words: list[str], other: list[str]) -> dict[int, float]:
+        x, y = values(Counter(words), of), values(Counter(other), of)
+        return {index[f]: x.get(f, 0) - y.get(f, 0) for f in {*x, *y} if x.get(f, 0) != y.get(f, 0)}
+
     changes = []
     if any(t in lowered for family in params.families for t in family):
         for sentence in SENTENCE.split(lowered):
             words = WORD.findall(sentence)
-            for other in swapped(words, params.families):
-                x, y = values(Counter(words), of), values(Counter(other), of)
-                change = {index[f]: x.get(f, 0) - y.get(f, 0) for f in {*x, *y} if x.get(f, 0) != y.get(f, 0)}
-                if change:
-                    changes.append(change)
-    return row, changes
+            changes += [change(words, other) for other in swapped(words, params.families)]
+    place = {t: (family, k) for family in learned for k, t in enumerate(family)}
+    more = [change(*pair) for pair in learned_swaps(text, place, params.swaps_per_text)] if place else []
+    return row, [c for c in changes if c], [c for c in more if c]
 
 
-def solve(rows: list[dict[int, float]], changes: list[dict[int, float]], labels: list[int], n: int, params: ToxicityParams) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch Adam on the regularised loss; deterministic for the same rows in the same order."""
+def solve(rows: list[dict], changes: list[dict], labels: list[int], n: int, params: ToxicityParams, more: list[dict] = ()) -> tuple[np.ndarray, float]:
+    """Weights and bias by full-batch Adam on the regularised loss; deterministic for the same rows in the same order.
+
+    The loss: mean logistic loss + l2 / rows * |w|^2 + counterfactual * mean (c w)^2 of changes + learned * mean (c w)^2 of more.
+    """
 
     def matrix(rows: list[dict[int, float]]):
         cols = np.fromiter((c for r in rows for c in r), np.int64)
@@ -144,7 +217,8 @@ def solve(rows: list[dict[int, float]], changes: list[dict[int, float]], labels:
     def back(m, r):
         return np.bincount(m[1], m[2] * r[m[0]], n)
 
-    main, swaps = matrix(rows), matrix(changes)
+    main = matrix(rows)
+    penalties = [(matrix(c), weight / len(c)) for c, weight in ((changes, params.counterfactual), (more, params.learned)) if c]
     y = np.asarray(labels, float)
     w, b = np.zeros(n), math.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
     m1, m2, mb1, mb2 = np.zeros(n), np.zeros(n), 0.0, 0.0
@@ -153,8 +227,8 @@ def solve(rows: list[dict[int, float]], changes: list[dict[int, float]], labels:
         z = np.clip(times(main, w) + b, -40, 40)
         r = (1 / (1 + np.exp(-z)) - y) / len(y)
         g = back(main, r) + params.l2 * w / len(y) * 2
-        if changes:
-            g += 2 * params.counterfactual * back(swaps, times(swaps, w)) / len(changes)
+        for swaps, weight in penalties:
+            g += 2 * weight * back(swaps, times(swaps, w))
         gb = r.sum()
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         mb1, mb2 = 0.9 * mb1 + 0.1 * gb, 0.999 * mb2 + 0.001 * gb * gb
@@ -164,12 +238,18 @@ def solve(rows: list[dict[int, float]], changes: list[dict[int, float]], labels:
     return w, float(b)
 
 
-def modelled(index: dict[str, int], rows, changes, labels: list[int], params: ToxicityParams) -> ToxicityModel:
+def modelled(index: dict[str, int], rows, changes, more, labels: list[int], params: ToxicityParams) -> ToxicityModel:
     if not index or len(set(labels)) < 2:
         rate = (sum(labels) + 0.5) / (len(labels) + 1)
         return ToxicityModel({}, math.log(rate / (1 - rate)), params.prefix_lengths)
-    w, b = solve(rows, changes[: params.max_changes], labels, len(index), params)
-    return ToxicityModel({f: float(w[k]) for f, k in index.items() if abs(w[k]) > 1e-3}, b, params.prefix_lengths)
+    w, b = solve(rows, changes[: params.max_changes], labels, len(index), params, more[: params.max_changes])
+    used = (min(len(changes), params.max_changes), min(len(more), params.max_changes))
+    return ToxicityModel({f: float(w[k]) for f, k in index.items() if abs(w[k]) > 1e-3}, b, params.prefix_lengths, used)
+
+
+def indexed(strong: list[str], learned: tuple[tuple[str, ...], ...]) -> dict[str, int]:
+    """Numbers of the features: the strong ones, and the members of learned families, for a swap to act on them."""
+    return {f: k for k, f in enumerate(sorted({*strong, *(t for family in learned for t in family)}))}
 
 
 def fit(texts: list[str | None], labels: list[int], params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
@@ -180,9 +260,14 @@ def fit(texts: list[str | None], labels: list[int], params: ToxicityParams = Tox
         for f in present(text, params.prefix_lengths):
             seen.setdefault(f, [0, 0])[y] += 1
     strong = sorted((-strength(p, q, n1, n0), f) for f, (q, p) in seen.items() if p + q >= params.min_df and strength(p, q, n1, n0) >= params.min_z)
-    index = {f: k for k, f in enumerate(sorted(f for _, f in strong[: params.max_features]))}
-    parts = [design(t, index, params) for t in texts]
-    return modelled(index, [row for row, _ in parts], [c for _, own in parts for c in own], labels, params)
+    terms = common_terms(((f, p, q) for f, (q, p) in seen.items() if "*" not in f), n1, n0, params)
+    counts: Counter = Counter()
+    for t in texts:
+        counts.update(contexts(t, set(terms)))
+    learned = families_of(terms, counts, params)
+    index = indexed([f for _, f in strong[: params.max_features]], learned)
+    parts = [design(t, index, params, learned) for t in texts]
+    return modelled(index, [row for row, _, _ in parts], [c for _, own, _ in parts for c in own], [c for *_, own in parts for c in own], labels, params)
 
 
 def held_out(doc_id):
@@ -214,20 +299,42 @@ def train(documents: DataFrame, labels: DataFrame, params: ToxicityParams = Toxi
     z = F.abs(F.col("positive") / max(1, n1) - F.col("negative") / max(1, n0)) / F.sqrt(p * (1 - p) * (1 / max(1, n0) + 1 / max(1, n1)))
     strong = counted.where(F.col("positive") + F.col("negative") >= params.min_df).withColumn("z", z).where(F.col("z") >= params.min_z)
     chosen = strong.orderBy(F.desc("z"), "feature").limit(params.max_features).select("feature").collect()
-    index = {f: k for k, f in enumerate(sorted(r["feature"] for r in chosen))}
+    learned = train_families(found, counted.where(~F.col("feature").contains("*")), n1, n0, params)
+    index = indexed([r["feature"] for r in chosen], learned)
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [design(t, index, params) for t in batch.column("text").to_pylist()]
+            parts = [design(t, index, params, learned) for t in batch.column("text").to_pylist()]
             pairs = lambda row: [{"k": k, "v": v} for k, v in row.items()]
             kind = pa.list_(pa.struct([("k", pa.int32()), ("v", pa.float64())]))
-            arrays = [batch.column("doc_id"), batch.column("toxic"), pa.array([pairs(row) for row, _ in parts], kind), pa.array([[pairs(c) for c in own[: params.max_changes]] for _, own in parts], pa.list_(kind))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "toxic", "row", "changes"])
+            lists = [pa.array([[pairs(c) for c in part[k][: params.max_changes]] for part in parts], pa.list_(kind)) for k in (1, 2)]
+            arrays = [batch.column("doc_id"), batch.column("toxic"), pa.array([pairs(row) for row, *_ in parts], kind), *lists]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "toxic", "row", "changes", "more"])
 
     pair = "array<struct<k: int, v: double>>"
-    got = found.mapInArrow(lay_out, f"doc_id {dict(found.dtypes)['doc_id']}, toxic int, row {pair}, changes array<{pair}>").collect()  # max_train_rows rows of chosen features
+    got = found.mapInArrow(lay_out, f"doc_id {dict(found.dtypes)['doc_id']}, toxic int, row {pair}, changes array<{pair}>, more array<{pair}>").collect()  # max_train_rows rows of chosen features
     got.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"])))
-    return modelled(index, [dict(r["row"]) for r in got], [dict(c) for r in got for c in r["changes"]], [r["toxic"] for r in got], params)
+    changes, more = ([dict(c) for r in got for c in r[name]] for name in ("changes", "more"))
+    return modelled(index, [dict(r["row"]) for r in got], changes, more, [r["toxic"] for r in got], params)
+
+
+def train_families(found: DataFrame, counted: DataFrame, n1: int, n0: int, params: ToxicityParams) -> tuple[tuple[str, ...], ...]:
+    """families_of, with frequencies and contexts counted on the executors: at most family_terms words and the pairs of them are collected."""
+    least = max(params.min_df, params.family_df * n0)
+    neutral = F.col("positive") * n0 <= params.family_ratio * F.col("negative") * max(1, n1)
+    common = counted.where((F.col("negative") >= least) & neutral).orderBy(F.desc("negative"), "feature").limit(params.family_terms)
+    terms = common_terms(((r["feature"], r["positive"], r["negative"]) for r in common.collect()), n1, n0, params)
+    known = set(terms)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: Counter = Counter()
+            for text in batch.column("text").to_pylist():
+                counts.update(contexts(text, known))
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in counts], pa.string()), pa.array([c for _, c in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "context", "n"])
+
+    pairs = found.select("text").mapInArrow(near, "term string, context string, n long").groupBy("term", "context").agg(F.sum("n").alias("n"))
+    return families_of(terms, Counter({(r["term"], r["context"]): r["n"] for r in pairs.collect()}), params) if terms else ()
 
 
 def score(documents: DataFrame, model: ToxicityModel, keep: list[str] | None = None) -> DataFrame:

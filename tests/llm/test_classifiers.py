@@ -50,6 +50,56 @@ def test_counterfactual_penalty_clears_group_mentions():
     assert fair.score("you are an idiot and scum") > 0.5
 
 
+def test_same_as_an_independent_solve():
+    """The fit's weights against Newton's method on the same convex loss, written out densely."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    n, m = 400, 12
+    x = (rng.random((n, m)) < 0.3) * rng.random((n, m))
+    y = (x @ rng.normal(size=m) * 2 + rng.normal(size=n) * 0.3 > 0.1).astype(int)
+    changes, more = rng.normal(size=(30, m)) * (rng.random((30, m)) < 0.2), rng.normal(size=(50, m)) * (rng.random((50, m)) < 0.2)
+    p = toxicity.ToxicityParams(steps=4000)
+    sparse = lambda a: [{int(k): float(v) for k, v in enumerate(r) if v} for r in a]
+    w, b = toxicity.solve(sparse(x), sparse(changes), y.tolist(), m, p, sparse(more))
+
+    def loss(v):
+        z = x @ v[:m] + v[m]
+        return np.mean(np.log1p(np.exp(-np.where(y == 1, z, -z)))) + p.l2 / n * v[:m] @ v[:m] + p.counterfactual * np.mean((changes @ v[:m]) ** 2) + p.learned * np.mean((more @ v[:m]) ** 2)
+
+    a = np.hstack([x, np.ones((n, 1))])
+    quadratic = np.zeros((m + 1, m + 1))
+    quadratic[:m, :m] = 2 * (p.l2 / n * np.eye(m) + p.counterfactual * changes.T @ changes / 30 + p.learned * more.T @ more / 50)
+    v = np.zeros(m + 1)
+    for _ in range(40):
+        q = 1 / (1 + np.exp(-a @ v))
+        v -= np.linalg.solve(a.T @ (a * (q * (1 - q))[:, None]) / n + quadratic + 1e-10 * np.eye(m + 1), a.T @ (q - y) / n + quadratic @ v)
+    own = np.append(w, b)
+    assert abs(loss(own) - loss(v)) < 1e-4 and np.abs(1 / (1 + np.exp(-a @ own)) - 1 / (1 + np.exp(-a @ v))).max() < 0.02
+    fewer, at = toxicity.solve(sparse(x), sparse(changes), y.tolist(), m, toxicity.ToxicityParams(), sparse(more))  # the steps of the query
+    assert loss(np.append(fewer, at)) < 1.05 * loss(v)
+
+
+def test_learned_families():
+    """Words of a language that the fixed list doesn't know: interchangeable neutral terms make a family, insults do not, and swaps move scores less."""
+    rng = random.Random(9)
+    groups, texts, labels = ["alpen", "belgen", "culten", "dormen"], [], []
+    for k in range(1200):
+        y = int(rng.random() < 0.5)
+        group = rng.choice(groups[:1] if y and rng.random() < 0.4 else groups)  # one group is blamed more often
+        words = ["wir", "sehen", "die", group, "heute", "dort"] + (["stinkig"] if y and rng.random() < 0.8 else []) + [f"wort{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(4)]
+        texts.append(" ".join(words) + ".")
+        labels.append(y)
+    p = toxicity.ToxicityParams(family_ratio=4.0, prefix_lengths=(), min_z=2.0)
+    fair, plain = toxicity.fit(texts, labels, p), toxicity.fit(texts, labels, toxicity.ToxicityParams(family_ratio=4.0, prefix_lengths=(), min_z=2.0, learned=0.0))
+    assert fair.changes[0] == 0 and fair.changes[1] > 500
+    apart = lambda m: abs(m.score("wir sehen die alpen heute dort") - m.score("wir sehen die belgen heute dort"))
+    assert apart(fair) < 0.5 * apart(plain) and fair.score("die alpen stinkig") > 0.5
+    seen = toxicity.Counter(w for t in texts for w in set(toxicity.WORD.findall(t)))
+    found = toxicity.families_of([w for w, n in seen.most_common() if n > 100], sum((toxicity.contexts(t, {w for w, n in seen.items() if n > 100}) for t in texts), toxicity.Counter()), p)
+    assert any(set(groups) <= set(f) for f in found) and not any("stinkig" in f and len(f) > 1 for f in found)
+
+
 def test_swaps():
     got = list(toxicity.swapped(["a", "gay", "man"], (("gay", "straight"), ("man", "woman", "boy"))))
     assert got == [["a", "straight", "woman"], ["a", "gay", "boy"]]
