@@ -200,35 +200,68 @@ def design(text: str | None, index: dict[str, int], params: ToxicityParams, lear
     return row, [c for c in changes if c], [c for c in more if c]
 
 
-def solve(rows: list[dict], changes: list[dict], labels: list[int], n: int, params: ToxicityParams, more: list[dict] = ()) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch Adam on the regularised loss; deterministic for the same rows in the same order.
+#: a labelled text's rows of the design, and the columns of each: how many, and the bytes of Sparse.packed()
+KINDS = ("row", "changes", "more")
+PARTS = ("n", "sizes", "cols", "vals")
 
-    The loss: mean logistic loss + l2 / rows * |w|^2 + counterfactual * mean (c w)^2 of changes + learned * mean (c w)^2 of more.
-    """
 
-    def matrix(rows: list[dict[int, float]]):
-        cols = np.fromiter((c for r in rows for c in r), np.int64)
-        vals = np.fromiter((v for r in rows for v in r.values()), np.float64)
-        return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), cols, vals, len(rows)
+class Sparse:
+    """Rows of numbered values as arrays: how many each row has, their columns (int32) and the values, end to end."""
+
+    def __init__(self, sizes: np.ndarray, cols: np.ndarray, vals: np.ndarray):
+        self.sizes, self.cols, self.vals = sizes, cols, vals
+        self.row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+
+    @classmethod
+    def of(cls, rows: list[dict[int, float]]) -> Sparse:
+        sizes = np.fromiter(map(len, rows), np.int32, len(rows))
+        return cls(sizes, np.fromiter((c for r in rows for c in r), np.int32), np.fromiter((v for r in rows for v in r.values()), np.float64))
+
+    @classmethod
+    def unpacked(cls, parts: list[tuple[bytes, bytes, bytes]]) -> Sparse:
+        """The rows of several packed() one after the other."""
+        joined = (np.frombuffer(b"".join(p[k] for p in parts), kind) for k, kind in enumerate((np.int32, np.int32, np.float64)))
+        return cls(*joined)
+
+    def packed(self) -> tuple[bytes, bytes, bytes]:
+        return self.sizes.tobytes(), self.cols.tobytes(), self.vals.tobytes()
+
+    def first(self, most: int) -> Sparse:
+        kept = self.sizes[:most]
+        n = int(kept.sum())
+        return Sparse(kept, self.cols[:n], self.vals[:n])
 
-    def times(m, w):
-        return np.bincount(m[0], m[2] * w[m[1]], m[3])
+    def __len__(self) -> int:
+        return len(self.sizes)
 
-    def back(m, r):
-        return np.bincount(m[1], m[2] * r[m[0]], n)
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.vals * w[self.cols], len(self))
 
-    main = matrix(rows)
-    penalties = [(matrix(c), weight / len(c)) for c, weight in ((changes, params.counterfactual), (more, params.learned)) if c]
+    def back(self, r: np.ndarray, n: int) -> np.ndarray:
+        return np.bincount(self.cols, self.vals * r[self.row], n)
+
+
+def solve(rows: list[dict], changes: list[dict], labels: list[int], n: int, params: ToxicityParams, more: list[dict] = ()) -> tuple[np.ndarray, float]:
+    """descend(), for rows as dictionaries."""
+    return descend(Sparse.of(rows), Sparse.of(changes), labels, n, params, Sparse.of(list(more)))
+
+
+def descend(main: Sparse, changes: Sparse, labels: list[int], n: int, params: ToxicityParams, more: Sparse) -> tuple[np.ndarray, float]:
+    """Weights and bias by full-batch Adam on the regularised loss; deterministic for the same rows in the same order.
+
+    The loss: mean logistic loss + l2 / rows * |w|^2 + counterfactual * mean (c w)^2 of changes + learned * mean (c w)^2 of more.
+    """
+    penalties = [(c, weight / len(c)) for c, weight in ((changes, params.counterfactual), (more, params.learned)) if len(c)]
     y = np.asarray(labels, float)
     w, b = np.zeros(n), math.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))
     m1, m2, mb1, mb2 = np.zeros(n), np.zeros(n), 0.0, 0.0
     rate = 0.05
     for step in range(1, params.steps + 1):
-        z = np.clip(times(main, w) + b, -40, 40)
+        z = np.clip(main.times(w) + b, -40, 40)
         r = (1 / (1 + np.exp(-z)) - y) / len(y)
-        g = back(main, r) + params.l2 * w / len(y) * 2
+        g = main.back(r, n) + params.l2 * w / len(y) * 2
         for swaps, weight in penalties:
-            g += 2 * weight * back(swaps, times(swaps, w))
+            g += 2 * weight * swaps.back(swaps.times(w), n)
         gb = r.sum()
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         mb1, mb2 = 0.9 * mb1 + 0.1 * gb, 0.999 * mb2 + 0.001 * gb * gb
@@ -238,13 +271,13 @@ def solve(rows: list[dict], changes: list[dict], labels: list[int], n: int, para
     return w, float(b)
 
 
-def modelled(index: dict[str, int], rows, changes, more, labels: list[int], params: ToxicityParams) -> ToxicityModel:
+def modelled(index: dict[str, int], rows: Sparse, changes: Sparse, more: Sparse, labels: list[int], params: ToxicityParams) -> ToxicityModel:
     if not index or len(set(labels)) < 2:
         rate = (sum(labels) + 0.5) / (len(labels) + 1)
         return ToxicityModel({}, math.log(rate / (1 - rate)), params.prefix_lengths)
-    w, b = solve(rows, changes[: params.max_changes], labels, len(index), params, more[: params.max_changes])
-    used = (min(len(changes), params.max_changes), min(len(more), params.max_changes))
-    return ToxicityModel({f: float(w[k]) for f, k in index.items() if abs(w[k]) > 1e-3}, b, params.prefix_lengths, used)
+    changes, more = changes.first(params.max_changes), more.first(params.max_changes)
+    w, b = descend(rows, changes, labels, len(index), params, more)
+    return ToxicityModel({f: float(w[k]) for f, k in index.items() if abs(w[k]) > 1e-3}, b, params.prefix_lengths, (len(changes), len(more)))
 
 
 def indexed(strong: list[str], learned: tuple[tuple[str, ...], ...]) -> dict[str, int]:
@@ -267,7 +300,8 @@ def fit(texts: list[str | None], labels: list[int], params: ToxicityParams = Tox
     learned = families_of(terms, counts, params)
     index = indexed([f for _, f in strong[: params.max_features]], learned)
     parts = [design(t, index, params, learned) for t in texts]
-    return modelled(index, [row for row, _, _ in parts], [c for _, own, _ in parts for c in own], [c for *_, own in parts for c in own], labels, params)
+    changes, more = (Sparse.of([c for part in parts for c in part[k]]) for k in (1, 2))
+    return modelled(index, Sparse.of([row for row, *_ in parts]), changes, more, labels, params)
 
 
 def held_out(doc_id):
@@ -305,17 +339,33 @@ def train(documents: DataFrame, labels: DataFrame, params: ToxicityParams = Toxi
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [design(t, index, params, learned) for t in batch.column("text").to_pylist()]
-            pairs = lambda row: [{"k": k, "v": v} for k, v in row.items()]
-            kind = pa.list_(pa.struct([("k", pa.int32()), ("v", pa.float64())]))
-            lists = [pa.array([[pairs(c) for c in part[k][: params.max_changes]] for part in parts], pa.list_(kind)) for k in (1, 2)]
-            arrays = [batch.column("doc_id"), batch.column("toxic"), pa.array([pairs(row) for row, *_ in parts], kind), *lists]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "toxic", "row", "changes", "more"])
-
-    pair = "array<struct<k: int, v: double>>"
-    got = found.mapInArrow(lay_out, f"doc_id {dict(found.dtypes)['doc_id']}, toxic int, row {pair}, changes array<{pair}>, more array<{pair}>").collect()  # max_train_rows rows of chosen features
-    got.sort(key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), str(r["doc_id"])))
-    changes, more = ([dict(c) for r in got for c in r[name]] for name in ("changes", "more"))
-    return modelled(index, [dict(r["row"]) for r in got], changes, more, [r["toxic"] for r in got], params)
+            arrays = [batch.column("doc_id"), batch.column("toxic")]
+            for rows in ([[row] for row, *_ in parts], *([part[k][: params.max_changes] for part in parts] for k in (1, 2))):
+                packed = [Sparse.of(r).packed() for r in rows]
+                arrays += [pa.array([len(r) for r in rows], pa.int32()), *(pa.array([p[k] for p in packed], pa.binary()) for k in range(3))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "toxic", *(f"{kind}_{part}" for kind in KINDS for part in PARTS)])
+
+    columns = ", ".join(f"{kind}_{part} {'int' if part == 'n' else 'binary'}" for kind in KINDS for part in PARTS)
+    laid = stored(found.mapInArrow(lay_out, f"doc_id {dict(found.dtypes)['doc_id']}, toxic int, {columns}"), "toxicity-design")
+    name = F.col("doc_id").cast("string")
+    place = F.struct(F.crc32(name.cast("binary")).alias("hash"), name.alias("name"))
+
+    def sent(kind: str, rows: DataFrame) -> Sparse:
+        got = rows.select(place.alias("place"), *(f"{kind}_{part}" for part in PARTS[1:])).collect()
+        return Sparse.unpacked([tuple(r)[1:] for r in sorted(got, key=lambda r: tuple(r["place"]))])
+
+    def sampled(kind: str) -> Sparse:
+        """The counterfactuals of texts in order of place, of as many as give max_changes."""
+        rows, total = laid.where(F.col(f"{kind}_n") > 0), 0
+        for r in order:
+            total += r[f"{kind}_n"]
+            if total >= params.max_changes:
+                return sent(kind, rows.where(place <= F.struct(F.lit(r["place"]["hash"]).alias("hash"), F.lit(r["place"]["name"]).alias("name"))))
+        return sent(kind, rows)
+
+    # at most max_train_rows rows of chosen features
+    order = sorted(laid.select(place.alias("place"), "toxic", "changes_n", "more_n").collect(), key=lambda r: tuple(r["place"]))
+    return modelled(index, sent("row", laid), sampled("changes"), sampled("more"), [r["toxic"] for r in order], params)
 
 
 def train_families(found: DataFrame, counted: DataFrame, n1: int, n0: int, params: ToxicityParams) -> tuple[tuple[str, ...], ...]:
