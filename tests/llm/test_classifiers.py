@@ -105,6 +105,25 @@ def test_swaps():
     assert got == [["a", "straight", "woman"], ["a", "gay", "boy"]]
 
 
+def test_train_collects_the_counterfactuals_that_fit_uses(spark):
+    """The design made on executors gives the model of fit(), at a bound within the counterfactuals and at one past them all."""
+    rng, groups, rows = random.Random(4), ["alpen", "belgen", "culten", "dormen"], []
+    for k in range(500):
+        if zlib.crc32(str(k).encode()) % 5:
+            y = int(rng.random() < 0.5)
+            parts = [f"wir sehen die {rng.choice(groups)} heute dort wort{chr(97 + rng.randrange(26))}" for _ in range(rng.randrange(4))] + ["stinkig" if y else "schoen"]
+            rows.append((k, ". ".join(parts), y))
+    rows.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), str(r[0])))
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    for most in (101, 100_000):
+        params = toxicity.ToxicityParams(min_z=2.0, prefix_lengths=(), max_changes=most)
+        ours, plain = toxicity.train(docs, labels, params), toxicity.fit([t for _, t, _ in rows], [y for *_, y in rows], params)
+        assert ours.changes == plain.changes and 101 <= ours.changes[1] <= most
+        assert ours.weights.keys() == plain.weights.keys()
+        assert all(abs(ours.weights[f] - v) < 1e-9 for f, v in plain.weights.items()) and abs(ours.bias - plain.bias) < 1e-9
+
+
 def test_toxicity_odd_rows(spark):
     docs = cases.documents(spark)
     labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0), (3, 1, None), (None, 1, 1), (77, 1, 1), (8, 1, 0)], "doc_id long, quality int, toxic int")
