@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +84,26 @@ def wal_garbage(segments: DataFrame, locations: DataFrame, now: Column, least_se
     return free.where(old_enough(F.col("mtime"), now, least_seconds) | pressure)
 
 
+def _places(here: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key of the index where it is read: route, segment_id, offset, length, cacheable, for each status that its segment is registered with."""
+    best = lambda index: F.max(F.when(F.col("index") == index, F.struct("segment_id", "offset", "length"))).alias(index)
+    registered = segments.groupBy(F.col("id").alias("_id")).agg(F.collect_list(F.coalesce("status", F.lit(""))).alias("_statuses"))
+    # keys without an entry location are spread over the tasks of the join; what they meet there does not count
+    x = here.groupBy(*keys).agg(best("entry"), best("wal")).withColumn("_id", F.coalesce("entry.segment_id", F.xxhash64(*keys))).join(registered, "_id", "left")
+    x = x.select(*keys, "entry", "wal", F.explode_outer(F.when(F.col("entry").isNotNull(), F.col("_statuses"))).alias("status"))
+    by_entry = F.when(F.col("status").isin("Local", "Active", "Offloading"), "local").when(F.col("status") == "S3", "remote")
+    route = F.coalesce(by_entry, F.when(F.col("wal").isNotNull(), "wal"), F.lit("not_found"))
+    at = F.when(route.isin("local", "remote"), F.col("entry")).when(route == "wal", F.col("wal"))
+    return x.select(*keys, route.alias("route"), at["segment_id"].alias("segment_id"), at["offset"].alias("offset"), at["length"].alias("length"), ((route == "local") & (F.col("status") != "Active")).alias("cacheable"))
+
+
+def _routed(x: DataFrame) -> DataFrame:
+    """x: ledger_id, entry_id, cached, and the columns of a place, null where the index has none."""
+    route = F.when(F.col("cached"), "cache").otherwise(F.coalesce("route", F.lit("not_found")))
+    stored = lambda name: F.when(F.col("cached"), None).otherwise(F.col(name)).alias(name)
+    return x.select("ledger_id", "entry_id", route.alias("route"), stored("segment_id"), stored("offset"), stored("length"), F.when(F.col("cached"), False).otherwise(F.coalesce("cacheable", F.lit(False))).alias("cacheable"))
+
+
 def tier_routes(wanted: DataFrame, locations: DataFrame, segments: DataFrame) -> DataFrame:
     """Where each wanted entry is read: the entry index before the log index; by the segment's status local or remote.
 
@@ -89,16 +112,40 @@ def tier_routes(wanted: DataFrame, locations: DataFrame, segments: DataFrame) ->
     """
     keys = ["ledger_id", "entry_id"]
     here = locations.join(wanted.select(*keys).distinct(), keys, "left_semi")
-    best = lambda index: F.max(F.when(F.col("index") == index, F.struct("segment_id", "offset", "length"))).alias(index)
-    x = wanted.join(here.groupBy(*keys).agg(best("entry"), best("wal")), keys, "left")
-    x = x.join(segments.select(F.col("id").alias("_id"), "status"), F.col("entry.segment_id") == F.col("_id"), "left")
-    by_entry = F.when(F.col("status").isin("Local", "Active", "Offloading"), "local").when(F.col("status") == "S3", "remote")
-    route = F.when(F.col("cached"), "cache").otherwise(F.coalesce(by_entry, F.when(F.col("wal").isNotNull(), "wal"), F.lit("not_found")))
-    at = F.when(route.isin("local", "remote"), F.col("entry")).when(route == "wal", F.col("wal"))
-    return x.select(
-        "ledger_id", "entry_id", route.alias("route"), at["segment_id"].alias("segment_id"), at["offset"].alias("offset"), at["length"].alias("length"),
-        ((route == "local") & (F.col("status") != "Active")).alias("cacheable"),
-    )
+    return _routed(wanted.join(_places(here, segments, keys), keys, "left"))
+
+
+#: Ledgers of a block, about; ledgers that go out by broadcast, at most; routes that a task makes, about; tasks at most.
+BLOCK_LEDGERS, SENT_LEDGERS, TASK_ROUTES, MOST_TASKS = 1024, 1 << 18, 4_000_000, 1 << 16
+
+
+def tier_routes_by_group(entries: DataFrame, ledgers: DataFrame, group: Callable[[Column], Column], cached: Column, locations: DataFrame, segments: DataFrame) -> DataFrame:
+    """tier_routes where each entry is wanted of every ledger of its group; the wanted rows themselves meet no exchange and no sort.
+
+    entries: entry_id.  ledgers: ledger_id.  group: of either id; null is in none.  cached: of ledger_id and entry_id.  Ledgers of a group are
+    dealt to blocks.  An entry travels once a block, with the places that the index has for it there, and meets the block's ledgers last.
+    """
+    entries = entries.select("entry_id", group(F.col("entry_id")).alias("group")).where("group is not null")
+    ledgers = ledgers.select("ledger_id", group(F.col("ledger_id")).alias("group")).where("group is not null")
+    sizes = ledgers.groupBy("group").agg(F.count("*").alias("n"))
+    both = sizes.join(entries.groupBy("group").agg(F.count("*").alias("m")), "group", "left")
+    n_ledgers, n_routes = both.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("m").cast("double")), F.lit(0.0))).first()
+    sent = F.broadcast if n_ledgers <= SENT_LEDGERS else lambda x: x
+    n_tasks = min(MOST_TASKS, max(entries.sparkSession.sparkContext.defaultParallelism, math.ceil(n_routes / TASK_ROUTES)))
+
+    sizes = sizes.select("group", F.ceil(F.col("n") / BLOCK_LEDGERS).alias("n_blocks"))
+    members = ledgers.join(sent(sizes), "group").select("group", "ledger_id", F.pmod(F.xxhash64("ledger_id"), F.col("n_blocks")).alias("block"))
+    blocks = members.groupBy("group", "block").agg(F.sort_array(F.collect_list("ledger_id")).alias("ledger_ids"))
+    asked = entries.join(sent(sizes), "group").select("group", "entry_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
+
+    here = locations.where(group(F.col("ledger_id")) == group(F.col("entry_id"))).join(sent(members.select("ledger_id", "block").distinct()), "ledger_id")
+    places = _places(here, segments, ["block", "entry_id", "ledger_id"]).repartition(n_tasks, "block", "entry_id")
+    places = places.groupBy("block", "entry_id", "ledger_id").agg(F.collect_list(F.struct("route", "segment_id", "offset", "length", "cacheable")).alias("places"))
+    known = places.groupBy("block", "entry_id").agg(F.map_from_entries(F.collect_list(F.struct("ledger_id", "places"))).alias("known"))
+    x = asked.repartition(n_tasks, "block", "entry_id").join(known, ["block", "entry_id"], "left").join(sent(blocks), ["group", "block"])
+    x = x.select("entry_id", "known", F.explode("ledger_ids").alias("ledger_id"))
+    x = x.select("ledger_id", "entry_id", F.explode_outer(F.col("known")[F.col("ledger_id")]).alias("place"))
+    return _routed(x.select("ledger_id", "entry_id", cached.alias("cached"), "place.*"))
 
 
 def tiered_read(wanted: DataFrame, locations: DataFrame, segments: DataFrame, cached: DataFrame, records: DataFrame) -> DataFrame:

@@ -276,8 +276,8 @@ query(
         "locations", "segments",
     ).replace(") ,", "),", 1),
 )(
-    lambda r: sg.tier_routes(
-        r.table("part").select(c("p_partkey").alias("entry_id")).withColumn("d", c("entry_id") % 10).join(r.table("supplier").select(c("s_suppkey").alias("ledger_id"), (c("s_suppkey") % 10).alias("d")), "d").withColumn("cached", (c("ledger_id") + c("entry_id")) % 13 == 0).drop("d"), r.locations, r.segments
+    lambda r: sg.tier_routes_by_group(
+        r.table("part").select(c("p_partkey").alias("entry_id")), r.table("supplier").select(c("s_suppkey").alias("ledger_id")), lambda key: key % 10, (c("ledger_id") + c("entry_id")) % 13 == 0, r.locations, r.segments
     ).drop("length")
 )
 

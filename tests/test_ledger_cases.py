@@ -2,6 +2,7 @@
 
 import hashlib
 import hmac
+import math
 import struct
 import zlib
 from datetime import datetime
@@ -328,3 +329,56 @@ def test_source_takes_filters(spark, tmp_path):
 
     assert list(reader.pushFilters([EqualTo(("ledger_id",), 3), EqualTo(("status",), "ok")])) == [EqualTo(("status",), "ok")]
     assert len(list(reader.read(reader.partitions()[0]))) == 10
+
+
+# ---- routes by group
+
+
+@pytest.mark.parametrize("block,sent", [(1024, 1 << 18), (2, 1 << 18), (2, 0)])
+def test_routes_by_group(spark, monkeypatch, block, sent):
+    """Against loops: repeated and missing ids, segments registered twice, without a status or not at all, one block or several, with and without broadcast."""
+    monkeypatch.setattr(sg, "BLOCK_LEDGERS", block)
+    monkeypatch.setattr(sg, "SENT_LEDGERS", sent)
+    ledgers, entries = [1, 4, 7, 10, 13, 7, 2, 5, -4, None], [1, 4, 7, 7, 2, 8, 3, -1, None]
+    locations = [
+        ("entry" if (a + b + k) % 2 else "wal", a, b, (a * 7 + b * 5 + k) % 9, 100 * k, 10 + k)
+        for a in (1, 4, 7, 10, 2, 99) for b in (1, 4, 7, 2, 50) for k in range(4) if (a + b * k) % 3
+    ]
+    locations += [("entry", None, 1, 1, 0, 1), ("wal", 1, None, 1, 0, 1)]
+    segments = [(0, "Local"), (1, "S3"), (1, "Active"), (2, "Deleted"), (3, None), (4, "Offloading"), (5, "Active"), (5, "Active"), (6, "S3"), (7, "S3"), (8, "Local")]
+    want = []
+    for a in ledgers:
+        for b in entries:
+            if a is None or b is None or math.fmod(a, 3) != math.fmod(b, 3):
+                continue
+            best = {i: max(((s, o, n) for j, x, y, s, o, n in locations if (j, x, y) == (i, a, b)), default=None) for i in ("entry", "wal")}
+            for status in [s for i, s in segments if best["entry"] and i == best["entry"][0]] or [None]:
+                route = "cache" if (a + b) % 13 == 0 else {"S3": "remote", "Local": "local", "Active": "local", "Offloading": "local"}.get(status) or ("wal" if best["wal"] else "not_found")
+                place = best["entry"] if route in ("local", "remote") else best["wal"] if route == "wal" else None
+                want.append((a, b, route, *(place or (None,) * 3), route == "local" and status != "Active"))
+    one_column = lambda name, xs: spark.createDataFrame([(x,) for x in xs], f"{name} long")
+    got = sg.tier_routes_by_group(
+        one_column("entry_id", entries), one_column("ledger_id", ledgers), lambda key: key % 3, (c("ledger_id") + c("entry_id")) % 13 == 0,
+        spark.createDataFrame(locations, "index string, ledger_id long, entry_id long, segment_id long, offset long, length long"), spark.createDataFrame(segments, "id long, status string"),
+    ).collect()
+    assert {r[2] for r in want} == {"cache", "local", "remote", "wal", "not_found"}
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
+
+
+def test_wanted_routes_are_not_exchanged(spark, tmp_path):
+    """100 ledgers and 5,000 entries want 50,000 routes: what is shuffled grows with the tables, not with their product."""
+    from stratalog.plans import catalogue
+
+    tables = {
+        "supplier": "id as s_suppkey", "part": "id as p_partkey", "orders": "id as o_orderkey, 'F' as o_orderstatus, 1D as o_totalprice, timestamp_ntz'1995-01-01 00:00:00' as o_orderdate",
+        "lineitem": "id as l_orderkey, id as l_partkey, id % 100 as l_suppkey, 2 as l_linenumber, 1D as l_quantity",
+    }
+    for name, columns in tables.items():
+        spark.range({"supplier": 100, "part": 5000}.get(name, 1000)).selectExpr(*columns.split(", ")).write.parquet(f"{tmp_path}/{name}.parquet")
+    sc = spark.sparkContext
+    written = lambda: (sc._jsc.sc().listenerBus().waitUntilEmpty(), {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None))})[1]
+    before = written()
+    df = catalogue.queries()["tier_route"](spark, str(tmp_path))
+    rows = df.groupBy("route").count().collect()
+    assert {r["route"]: r["count"] for r in rows}["remote"] > 900 and sum(r["count"] for r in rows) == 50_000
+    assert sum(n for k, n in written().items() if k not in before) < 15_000
